@@ -68,16 +68,16 @@ def _slices(buf: np.ndarray):
         a = b
 
 
-def words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], fold: bool = False, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word `[^\\x20\\x09-\\x0D]+` of all texts, and for each text (and the end) the place of its first word.
 
-    fold: lower-case A-Z first.
+    fold: lower-case A-Z first. gaps: the bytes that part words; white space must be among them.
     """
     buf, at = join(texts)
     hashes, starts = [], []
     for a, b in _slices(buf):
         part = buf[a:b]
-        gap = SPACE[part]
+        gap = gaps[part]
         if fold:
             part = LOWER[part]
         edge = np.diff(gap.view(np.int8), prepend=1, append=1)

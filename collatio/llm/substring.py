@@ -27,6 +27,18 @@ def _windows(t: pa.Table, window: int):
     return t, texts, ids, first, h, at
 
 
+def _marks(docs: DataFrame, window: int, chunks: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """For each chunk which of its windows an earlier chunk has. A function of its own, so that nothing holds its shuffles."""
+
+    def emit(t: pa.Table) -> pa.Table:
+        chunk = t["chunk"][0].as_py()
+        _, _, _, _, h, _ = _windows(t, window)
+        return R.blocks(chunk, np.unique(h) if chunk >= 0 else h[:0], buckets)
+
+    base = R.chunked(docs, chunks, id_col, text_col)
+    return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK), first_is_new=True), "op1-marks")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word that lies in a window of `window` words which also starts in a document with a smaller id.
 
@@ -41,17 +53,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     the same id don't count against each other: equal is not smaller; each comes back. Rows with a null id are
     neither compared nor changed, only their words are joined. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    chunks = buckets = 3 * width(spark)
-    base = R.chunked(docs, chunks, id_col, text_col)
-
-    def emit(t: pa.Table) -> pa.Table:
-        chunk = t["chunk"][0].as_py()
-        _, _, _, _, h, _ = _windows(t, window)
-        return R.blocks(chunk, np.unique(h) if chunk >= 0 else h[:0], buckets)
-
-    marks = cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK), first_is_new=True), "op1-marks")
-    release(spark)
+    chunks, buckets = 2 * width(docs.sparkSession), width(docs.sparkSession)
+    marks = _marks(docs, window, chunks, buckets, id_col, text_col)
+    release(docs.sparkSession)
     base = R.chunked(docs, chunks, id_col, text_col, carry=True)
     out = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
