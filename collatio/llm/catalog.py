@@ -1,10 +1,15 @@
 """The queries of this subpackage and their SQL, for the registry."""
 
-from . import substring
+from . import packing, substring, toxicity, urls, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op2_toxicity": toxicity.query,
+    "op3_best_fit_packing": packing.query,
+    "op7_url_filters": urls.query,
+    "op8_warc": warc.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
+    "op8_warc": warc.SQL,
 }
