@@ -7,8 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words kept with their ids in each worker; the cache starts anew beyond it.
-CACHE = 200_000
+#: Words, and stems of words, kept with their ids in each worker; a cache starts anew beyond its number.
+WORDS, STEMS = 150_000, 400_000
+#: What may follow a stem. None of it joins the letter or digit before it in the vocabulary's splitter.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LOT = 4096
 
 
 def default_path() -> str:
@@ -21,8 +24,9 @@ class Tokens:
     """Ids of texts, encoded word by word.
 
     The vocabulary's normaliser and splitter never join what white space separates, so a text's ids are those of its
-    white-space-delimited words in turn. Words repeat, so most come from the cache, as packed little-endian unsigned
-    32-bit ids; the rest are encoded in one batch.
+    white-space-delimited words in turn. Words repeat, so most come from a cache, as packed little-endian unsigned
+    32-bit ids. A word that ends in ASCII punctuation after a letter or digit is split there too, and its stem, in
+    lower case as the normaliser would make it, has a cache of its own. Only new stems and tails are encoded.
     """
 
     def __init__(self, path: str):
@@ -30,19 +34,54 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    def _one_by_one(self, stems: list[bytes]) -> None:
+        for s, e in zip(stems, self.tokenizer.encode_batch([s.decode() for s in stems], add_special_tokens=False), strict=True):
+            self.stems[s] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode new stems: those of letters alone together, as each of them ends with its first id that ends a word."""
+        plain, other = [], []
+        for s in new:
+            (plain if (s.isalpha() if s.isascii() else s.decode().isalpha()) else other).append(s)
+        for a in range(0, len(plain), LOT):
+            part = plain[a : a + LOT]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):
+                other += part
+                continue
+            data, last = ids.tobytes(), 0
+            for s, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.stems[s] = data[last:stop]
+                last = stop
+        for a in range(0, len(other), LOT):
+            self._one_by_one(other[a : a + LOT])
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(TAIL)
+        if stem and len(stem) < len(word) and not (chr(stem[-1]) if stem[-1] < 128 else stem.decode().lower()[-1]).isalnum() or b"<|" in word:
+            stem = word  # special tokens, and stems that end in a mark, stay whole
+        return (stem.lower() if stem.isascii() and b"<|" not in word else stem), word[len(stem) :]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text (UTF-8) its ids, packed."""
-        if len(self.words) > CACHE:
+        if len(self.words) > WORDS:
             self.words.clear()
-        known = self.words
+        if len(self.stems) > STEMS:
+            self.stems = {b"": b""}
+        known, stems = self.words, self.stems
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(known)) if split else []
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        parts = {w: self._split(w) for w in set().union(*split).difference(known)} if split else {}
+        self._learn(list({x for p in parts.values() for x in p}.difference(stems)))
+        for w, (stem, tail) in parts.items():
+            known[w] = stems[stem] + stems[tail]
         return [b"".join(map(known.__getitem__, t)) for t in split]
 
 
