@@ -108,14 +108,18 @@ def windows(w: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return mix(h[keep]), keep
 
 
-def spans(buf: np.ndarray, length: int) -> np.ndarray:
-    """The hash of the `length` bytes from every place of the buffer."""
-    out = []
-    for a in range(0, max(0, len(buf) - length + 1), SLICE):
-        part = buf[a : a + SLICE + length - 1]
+def at(buf: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the `length` bytes from each of the sorted places."""
+    out = np.zeros(len(places), np.uint64)
+    step = max(SLICE, length)
+    for a in range(0, len(buf), step):
+        i, j = np.searchsorted(places, [a, a + step])
+        if i == j:
+            continue
+        part = buf[a : a + step + length - 1]
         power, inverse = _powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-        n = len(part) - length + 1
-        out.append(mix((sums[length:] - sums[:n]) * inverse[:n]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        p = places[i:j] - a
+        out[i:j] = mix((sums[p + length] - sums[p]) * inverse[p])
+    return out

@@ -12,8 +12,6 @@ passage nor a hot document gathers in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from ._store import width
 
 BLOCK = "bucket int, chunk int, block binary"
-MARKS = "chunk int, bucket int, bits binary"
+MARKS = "chunk int, bucket int, other binary, earlier binary"
 #: Points of the quantile sketch that chunk borders are interpolated between; bounds its size.
 POINTS = 128
 
@@ -75,11 +73,8 @@ def blocks(chunk: int, u: np.ndarray, buckets: int) -> pa.Table:
     return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "block": pa.array([encode(u[at[b] : at[b + 1]]) for b in full], pa.binary())})
 
 
-def answers(sent: DataFrame, first_is_new: bool) -> DataFrame:
-    """For each block the bits of its entries that count as repeated.
-
-    first_is_new: set where a chunk with a smaller number has the hash; else where any other chunk has it.
-    """
+def answers(sent: DataFrame) -> DataFrame:
+    """For each block the bits of its entries that repeat: in any other chunk, and in a chunk with a smaller number."""
 
     def mark(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -88,27 +83,27 @@ def answers(sent: DataFrame, first_is_new: bool) -> DataFrame:
         order = np.argsort(every, kind="stable")
         s = every[order]
         same = s[1:] == s[:-1]
-        flag = np.zeros(len(s), bool)
-        flag[order[1:]] = same
-        if not first_is_new:
-            flag[order[:-1]] |= same
+        earlier = np.zeros(len(s), bool)
+        earlier[order[1:]] = same
+        other = earlier.copy()
+        other[order[:-1]] |= same
         rows, a = [], 0
         for chunk, p in zip(t["chunk"].to_pylist(), parts, strict=True):
-            own = flag[a : a + len(p)]
+            own = slice(a, a + len(p))
             a += len(p)
-            if own.any():
-                rows.append((chunk, np.packbits(own).tobytes()))
+            if other[own].any():
+                rows.append((chunk, np.packbits(other[own]).tobytes(), np.packbits(earlier[own]).tobytes()))
         bucket = t["bucket"][0].as_py()
-        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "other": pa.array([r[1] for r in rows], pa.binary()), "earlier": pa.array([r[2] for r in rows], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(mark, MARKS)
 
 
-def flags(u: np.ndarray, marks: pa.Table, buckets: int) -> np.ndarray:
-    """The bits of all buckets, put together again for the chunk's sorted hashes u."""
+def flags(u: np.ndarray, marks: pa.Table, buckets: int, which: str) -> np.ndarray:
+    """The bits `which` (other or earlier) of all buckets, put together again for the chunk's sorted hashes u."""
     out = np.zeros(len(u), bool)
     at = borders(u, buckets)
-    for b, bits in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True):
+    for b, bits in zip(marks["bucket"].to_pylist(), marks[which].to_pylist(), strict=True):
         n = int(at[b + 1] - at[b])
         out[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool)
     return out
@@ -123,5 +118,3 @@ def in_order(t: pa.Table) -> pa.Table:
     """A chunk's documents by doc_id, nulls last."""
     return t.sort_by([("doc_id", "ascending")])
 
-
-Emit = Callable[[pa.Table], pa.Table]

@@ -51,7 +51,7 @@ class Tokens:
             (plain if (s.isalpha() if s.isascii() else s.decode().isalpha()) else other).append(s)
         for a in range(0, len(plain), LOT):
             part = plain[a : a + LOT]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):
                 other += part
@@ -63,12 +63,21 @@ class Tokens:
         for a in range(0, len(other), LOT):
             self._one_by_one(other[a : a + LOT])
 
-    @staticmethod
-    def _split(word: bytes) -> tuple[bytes, bytes]:
-        stem = word.rstrip(TAIL)
-        if stem and len(stem) < len(word) and not (chr(stem[-1]) if stem[-1] < 128 else stem.decode().lower()[-1]).isalnum() or b"<|" in word:
-            stem = word  # special tokens, and stems that end in a mark, stay whole
-        return (stem.lower() if stem.isascii() and b"<|" not in word else stem), word[len(stem) :]
+    def _new(self, words: list[bytes]) -> None:
+        """Take words into the cache, each as a stem and a tail."""
+        heads, tails = [], []
+        for w in words:
+            low = w.lower() if w.isascii() else w
+            stem = low.rstrip(TAIL)
+            n = len(stem)
+            if n != len(w) and n and not (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode().lower()[-1].isalnum()) or b"<|" in w:
+                stem = w if b"<|" in w else low  # special tokens, and stems that end in a mark, stay whole
+                n = len(w)
+            heads.append(stem)
+            tails.append(low[n:])
+        self._learn(list(set(heads).union(tails).difference(self.stems)))
+        stems = self.stems
+        self.words.update((w, stems[h] + stems[t] if t else stems[h]) for w, h, t in zip(words, heads, tails, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text (UTF-8) its ids, packed."""
@@ -76,13 +85,10 @@ class Tokens:
             self.words.clear()
         if len(self.stems) > STEMS:
             self.stems = {b"": b""}
-        known, stems = self.words, self.stems
         split = [t.split() for t in texts]
-        parts = {w: self._split(w) for w in set().union(*split).difference(known)} if split else {}
-        self._learn(list({x for p in parts.values() for x in p}.difference(stems)))
-        for w, (stem, tail) in parts.items():
-            known[w] = stems[stem] + stems[tail]
-        return [b"".join(map(known.__getitem__, t)) for t in split]
+        self._new(list(set().union(*split).difference(self.words)))
+        known = self.words.__getitem__
+        return [b"".join(map(known, t)) for t in split]
 
 
 @lru_cache(1)

@@ -36,10 +36,10 @@ def _marks(docs: DataFrame, window: int, chunks: int, buckets: int, id_col: str,
         return R.blocks(chunk, np.unique(h) if chunk >= 0 else h[:0], buckets)
 
     base = R.chunked(docs, chunks, id_col, text_col)
-    return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK), first_is_new=True), "op1-marks")
+    return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op1-marks")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, squeeze: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word that lies in a window of `window` words which also starts in a document with a smaller id.
 
     A polynomial rolling hash is taken of every window of every whole text. Each chunk of documents counts its
@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     left. Two different windows are taken for equal with probability 2**-64 a pair.
 
     Returns doc_id, n_words, n_removed, spans (array of [start, stop) word places, maximal), text (the kept words
-    joined by one space) and row (a struct of all other input columns, so names can't clash).
+    joined by one space; without `squeeze` a text that loses nothing stays as it is) and row (a struct of all other input columns, so names can't clash).
     Null or empty texts have no words and come back empty. Texts of fewer than `window` words lose nothing. Rows with
     the same id don't count against each other: equal is not smaller; each comes back. Rows with a null id are
     neither compared nor changed, only their words are joined. An empty table gives an empty table.
@@ -74,7 +74,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             u, where, back = np.unique(h, return_index=True, return_inverse=True)
             doc = np.searchsorted(first, at, side="right") - 1
             own = ids[doc]
-            later = R.flags(u, marks, buckets)[back] | (own > own[where][back])
+            later = R.flags(u, marks, buckets, "earlier")[back] | (own > own[where][back])
             step = np.zeros(n + 1, np.int32)
             np.add.at(step, at[later], 1)
             np.add.at(step, at[later] + window, -1)
@@ -86,7 +86,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             own = text.split()
             if not removed[i]:
                 spans.append([])
-                kept.append(b" ".join(own))
+                kept.append(b" ".join(own) if squeeze else text)
                 continue
             mask = covered[first[i] : first[i + 1]]
             edge = np.diff(mask.view(np.int8), prepend=0, append=0)

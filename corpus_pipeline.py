@@ -1,12 +1,62 @@
-"""A corpus pipeline in stages; each reads what its predecessor kept."""
+"""A corpus pipeline in stages; each reads what its predecessor kept.
+
+toxicity: documents that the model rejects go. near duplicates: one document of each group stays, the one with the smallest
+id. repeated passages: words of windows that an earlier document has are cut out, and a document with no word left goes.
+benchmark leaks: documents that hold a test item go. packing: the rest, as token sequences.
+All but the last return the columns of `documents`; a text that nothing is cut from stays as it is, and n_chars is that of the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from collatio.llm import decontam, jaccard, packing, substring, toxicity
 from collatio.llm._store import cut
 
-STAGES: list = []
+#: Near duplicates: words of a shingle, and the similarity in per cent.
+WORDS, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold of a model of the labels that may be learnt from."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component of the n-gram Jaccard join; rows without an id stay."""
+    found = jaccard.near(docs.select("doc_id", "text"), WORDS, PERCENT)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of windows that an earlier document has."""
+    out = substring.remove_repeats(docs, squeeze=False).where("n_removed = 0 or n_removed < n_words")
+    text = out.select("doc_id", "text", "row.*")
+    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("best_fit_packing", pack),
+]
+#: SQL can express neither a trained model nor a tokenizer.
 ORACLE_SQL = None
 
 
