@@ -99,6 +99,42 @@ def answers(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(mark, MARKS)
 
 
+LEVELS = "chunk int, bucket int, levels binary"
+
+
+def levels(sent: DataFrame) -> DataFrame:
+    """For each block and entry in how many chunks it occurs, by the logarithm: 0 for one, 1 for two, 2 for up to four, and so on."""
+
+    def mark(t: pa.Table) -> pa.Table:
+        parts = [decode(x.as_py()) for x in t["block"]]
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], every[order[1:]] != every[order[:-1]]]))
+        n = np.diff(np.append(at, len(every)))
+        level = np.zeros(len(every), np.uint8)
+        level[order] = np.repeat(np.ceil(np.log2(n)).astype(np.uint8), n)
+        rows, a = [], 0
+        pack = zstandard.ZstdCompressor(level=1)
+        for chunk, p in zip(t["chunk"].to_pylist(), parts, strict=True):
+            own = level[a : a + len(p)]
+            a += len(p)
+            if own.any():
+                rows.append((chunk, pack.compress(own.tobytes())))
+        bucket = t["bucket"][0].as_py()
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "levels": pa.array([r[1] for r in rows], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(mark, LEVELS)
+
+
+def levels_of(u: np.ndarray, marks: pa.Table, buckets: int) -> np.ndarray:
+    """The levels of all buckets, put together again for the chunk's sorted hashes u."""
+    out = np.zeros(len(u), np.uint8)
+    at = borders(u, buckets)
+    for b, packed in zip(marks["bucket"].to_pylist(), marks["levels"].to_pylist(), strict=True):
+        out[at[b] : at[b + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return out
+
+
 def flags(u: np.ndarray, marks: pa.Table, buckets: int, which: str) -> np.ndarray:
     """The bits `which` (other or earlier) of all buckets, put together again for the chunk's sorted hashes u."""
     out = np.zeros(len(u), bool)

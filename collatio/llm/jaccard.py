@@ -14,16 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _hashing as H
+from . import _repeats as R
 from ._components import components
 from ._store import cut, release, width
 
 WORDS, PERCENT = 4, 85
-#: Shingles ranked as frequent, hence searched last; bounds what is broadcast. Others rank by their hash.
-FREQUENT = 1 << 16
-#: A chunk of documents that a task reduces at once: shingles held. And texts hashed at once: bytes.
-CHUNK, BATCH = 1 << 21, 1 << 21
-#: In a chunk of this many shingles one that is in so many documents is proposed as frequent.
-OFTEN = 8
+#: Bytes of text hashed at once, and posting entries that a task merges before it sends them.
+BATCH, CHUNK = 1 << 20, 1 << 21
 #: Documents to a side of a block of the search.
 SIDE = 256
 #: DivideSkip's weight of the longest list's logarithm in the choice of how many lists are long.
@@ -31,7 +28,7 @@ MU = 0.01
 #: Entries of short lists up to which they are merged by a heap; more are merged by counting.
 HEAP = 4096
 
-DOCS = "kind int, id bigint, n bigint, a bigint, b bigint"
+SETS = "doc_id bigint, n bigint, a bigint, b bigint, prefix binary, members binary"
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,22 +52,14 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def _batches(source: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Documents with an id, some megabytes of text at a time."""
-    for whole in source:
-        ids, texts, held = [], [], 0
-        for i, x in zip(whole.column(id_col).to_pylist(), whole.column(text_col), strict=True):
-            if i is None:
-                continue
-            t = x.as_buffer().to_pybytes() if x.is_valid else b""
-            ids.append(i)
-            texts.append(t)
-            held += len(t)
-            if held >= BATCH:
-                yield np.array(ids, np.int64), texts
-                ids, texts, held = [], [], 0
-        if ids:
-            yield np.array(ids, np.int64), texts
+def _lots(texts: list[bytes], words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A chunk's texts some at a time: which, and their shingles."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= BATCH or i == len(texts) - 1:
+            yield a, i + 1, *shingles(texts[a : i + 1], words)
+            a, held = i + 1, 0
 
 
 def _signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,54 +70,6 @@ def _signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: a document with its set's size and signature; kind 1: a shingle that is frequent in a chunk, with its count."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        names = ["kind", "id", "n", "a", "b"]
-        held, parts = 0, []
-
-        def flush():
-            u, c = np.unique(np.concatenate(parts), return_counts=True)
-            often = c >= OFTEN
-            k = int(often.sum())
-            zero = np.zeros(k, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((zero + 1, u[often].view(np.int64), c[often], zero, zero), kinds, strict=True)], names)
-
-        for ids, texts in _batches(source, "doc_id", "text"):
-            h, first = shingles(texts, words)
-            a, b = _signatures(h, first)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.zeros(len(ids), np.int64), ids, np.diff(first), a, b), kinds, strict=True)], names)
-            parts.append(h)
-            held += len(h)
-            if held >= CHUNK:
-                yield flush()
-                held, parts = 0, []
-        if parts:
-            yield flush()
-
-    return docs.mapInArrow(run, DOCS)
-
-
-def frequent(described: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The most frequent shingles, sorted by hash; a bounded number. It steers the order alone: any set of them gives the same links."""
-    rows = described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(most).collect()
-    u = np.array([r["id"] for r in rows], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(u)
-    return np.stack([u[order], n[order].astype(np.uint64)])
-
-
-def rank(h: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """A number that orders shingles from rare to frequent, alike in all documents: 0 for those not known as frequent, else the count."""
-    if not often.shape[1]:
-        return np.zeros(len(h), np.uint64)
-    k = np.searchsorted(often[0], h)
-    k[k == often.shape[1]] = 0
-    return np.where(often[0][k] == h, often[1][k], np.uint64(0))
-
-
 def needed(n: int, percent: int) -> int:
     """The overlap that a set of n members must reach with any set it links to."""
     return -(-n * percent // 100)
@@ -173,52 +114,88 @@ def _reduce(h: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, p
     return (h[at], low[at], np.maximum.reduceat(high, at), root), np.unique(edges, axis=0) if len(edges) else edges
 
 
-def candidates(docs: DataFrame, often: np.ndarray, words: int, percent: int) -> DataFrame:
+def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every document's set: its size and signature; and, if it can link at all, its rarest shingles and its members.
+
+    The exchange of `_repeats` tells each chunk in how many chunks each of its shingles occurs. That number, by its
+    logarithm, orders shingles from rare to frequent, alike for all documents. A document whose shingles are not nearly all
+    found in another one, T of them at least, links with nothing and sends nothing more; nor do copies of a set within a
+    chunk, but for the first.
+    """
+    chunks, buckets = 2 * width(docs.sparkSession), width(docs.sparkSession)
+    marks = _levels(docs, words, chunks, buckets)
+    release(docs.sparkSession)
+
+    def describe(t: pa.Table, marks: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({c: pa.array([]) for c in ("doc_id", "n", "a", "b", "prefix", "members")})
+        t = R.in_order(t)
+        ids, lots = t["doc_id"].to_pylist(), list(_lots(R.texts(t), words))
+        u, count = np.unique(np.concatenate([x[2] for x in lots]), return_counts=True)
+        level = R.levels_of(u, marks, buckets)
+        shared = (level > 0) | (count > 1)
+        out: list[tuple] = []
+        seen = set()
+        for i, _, h, first in lots:
+            a, b = _signatures(h, first)
+            k = np.searchsorted(u, h)
+            some = np.concatenate([[0], np.cumsum(shared[k])])
+            for d in range(len(first) - 1):
+                x, y = first[d], first[d + 1]
+                n, key = int(y - x), (int(y - x), int(a[d]), int(b[d]))
+                prefix = members = None
+                if n and ids[i + d] is not None and some[y] - some[x] >= needed(n, percent) and key not in seen:
+                    seen.add(key)
+                    order = np.argsort(level[k[x:y]], kind="stable")  # by level, then by hash
+                    prefix, members = h[x:y][order[: n - needed(n, percent) + 1]].tobytes(), h[x:y].tobytes()
+                out.append((ids[i + d], *key, prefix, members))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n", "a", "b", "prefix", "members"])
+
+    base = R.chunked(docs, chunks)
+    return base.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(describe, SETS)
+
+
+def _levels(docs: DataFrame, words: int, chunks: int, buckets: int) -> DataFrame:
+    def emit(t: pa.Table) -> pa.Table:
+        chunk = t["chunk"][0].as_py()
+        parts = [h for _, _, h, _ in _lots(R.texts(t), words)] if chunk >= 0 else []
+        return R.blocks(chunk, np.unique(np.concatenate([np.zeros(0, np.uint64), *parts])), buckets)
+
+    return cut(R.levels(R.chunked(docs, chunks).groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op5-levels")
+
+
+def candidates(described: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold together every two sets that can link.
 
     Two sets that link share a shingle among the rarest n - T + 1 of each, T being the overlap needed: the lists of those
-    shingles are the short ones, and only they are sent. Each chunk merges its own lists first, so a list is at most one
-    entry a chunk and run of sizes; the tasks that merge the lists of a range of hashes return edges to a run's smallest document,
-    not pairs.
+    shingles are the short ones, and only they are sent. Each task merges its own lists first, so a list is at most one
+    entry a task and run of sizes; the tasks that merge the lists of a range of hashes return edges to a run's smallest
+    document, not pairs.
     """
-    spark = docs.sparkSession
-    buckets = width(spark)
-    sent = spark.sparkContext.broadcast(often)
+    buckets = width(described.sparkSession)
     lows = np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], np.uint64)
 
     def emit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["bucket", "block", "a", "b"], (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        held, parts, seen, copies = 0, [], {}, []
+        held, parts = 0, []
 
         def flush():
             (h, low, high, doc), edges = _reduce(*(np.concatenate(c) for c in zip(*parts, strict=True)), percent)
             at = np.concatenate([[0], np.searchsorted(h, lows), [len(h)]])
             rows = [(b, _pack(np.diff(h[i:j], prepend=np.uint64(0)), low[i:j], high[i:j], doc[i:j]), [], []) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-            edges = np.concatenate([edges, np.array(copies, np.int64).reshape(-1, 2)])
             if len(edges):
                 rows.append((int(edges[0, 0]) % buckets, None, edges[:, 0].tolist(), edges[:, 1].tolist()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for ids, texts in _batches(source, "doc_id", "text"):
-            h, first = shingles(texts, words)
-            a, _ = _signatures(h, first)
-            freq = rank(h, sent.value)
-            for d in np.argsort(ids, kind="stable"):
-                own = h[first[d] : first[d + 1]]
-                n = len(own)
-                if not n:
-                    continue
-                if (first_id := seen.setdefault((n, a[d]), ids[d])) != ids[d]:  # a copy of a set of this chunk; the smallest of all must have an edge
-                    if ids[d] < first_id:
-                        copies.append((first_id, ids[d]))
-                        seen[n, a[d]] = ids[d]
-                    continue
-                own = own[np.argsort(freq[first[d] : first[d + 1]], kind="stable")][: n - needed(n, percent) + 1]
-                parts.append((own, np.full(len(own), n, np.uint32), np.full(len(own), n, np.uint32), np.full(len(own), ids[d], np.int64)))
+        for b in source:
+            for doc, n, prefix in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("prefix"), strict=True):
+                own = np.frombuffer(prefix.as_buffer(), np.uint64)
+                parts.append((own, np.full(len(own), n, np.uint32), np.full(len(own), n, np.uint32), np.full(len(own), doc, np.int64)))
                 held += len(own)
-            if held >= CHUNK:
-                yield flush()
-                held, parts, seen, copies = 0, [], {}, []
+                if held >= CHUNK:
+                    yield flush()
+                    held, parts = 0, []
         if parts:
             yield flush()
 
@@ -230,7 +207,8 @@ def candidates(docs: DataFrame, often: np.ndarray, words: int, percent: int) ->
         every = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
         return pa.table({"a": every[:, 0], "b": every[:, 1]})
 
-    return docs.mapInArrow(emit, "bucket int, block binary, a array<bigint>, b array<bigint>").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint")
+    lists = described.where("prefix is not null").select("doc_id", "n", "prefix")
+    return lists.mapInArrow(emit, "bucket int, block binary, a array<bigint>, b array<bigint>").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint")
 
 
 def search(query: np.ndarray, lists: dict[int, list[int]], sets: list[np.ndarray], percent: int, skip) -> list[int]:
@@ -310,27 +288,16 @@ def _join(ids: list[int], sets: list[np.ndarray], queries: list[int], indexed: l
     return forest
 
 
-def links(docs: DataFrame, members: DataFrame, words: int, percent: int, side: int = SIDE) -> DataFrame:
+def links(described: DataFrame, members: DataFrame, percent: int, side: int = SIDE) -> DataFrame:
     """A forest (a, b) of the links among the members (doc_id, cluster) of each cluster.
 
     A small cluster is searched in one block; a larger one is cut into blocks of about `side` documents by a hash, and each two
-    blocks meet in a task of their own. The clusters' texts are read again for their sets.
+    blocks meet in a task of their own.
     """
-    spark = docs.sparkSession
-    lots = 4 * width(spark)
+    lots = 4 * width(described.sparkSession)
     sizes = cut(members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"), "op5-clusters")
     own = cut(members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / side).cast("int")), "op5-members")
-    few = docs.join(own, "doc_id")
-
-    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
-            if not b.num_rows:
-                continue
-            h, first = shingles([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")], words)
-            packed = [h[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cluster"), b.column("blocks"), pa.array(packed, pa.binary())], ["doc_id", "cluster", "blocks", "set"])
-
-    made = few.select("doc_id", "text", "cluster", "blocks").mapInArrow(sets, "doc_id bigint, cluster bigint, blocks int, set binary")
+    made = described.where("members is not null").select("doc_id", F.col("members").alias("set")).join(own, "doc_id")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = made.withColumn("block", block).withColumn("other", F.explode(others))
@@ -373,20 +340,16 @@ def near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = cut(describe(base, words), "op5-described")
-    sets = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "a", "b")
-    classes = cut(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "op5-classes")
-    release(spark)
-    edges = cut(candidates(base, frequent(described), words, percent), "op5-edges")
+    described = cut(sets(base, words, percent), "op5-sets")
     release(spark)
-    clusters = components(edges)
+    known = described.where("doc_id is not null").select("doc_id", "n", "a", "b")
+    classes = cut(known.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "op5-classes")
+    clusters = components(cut(candidates(described, percent), "op5-edges"))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("doc_id"), "cluster")
-    forest = cut(links(base, members, words, percent), "op5-forest")
-    release(spark)
-    comp = components(forest)
+    comp = components(cut(links(described, members, percent), "op5-forest"))
     per = cut(classes.join(comp, classes["rep"] == comp["id"], "left").select("n", "a", "b", F.coalesce("component", "rep").alias("c")), "op5-per-class")
-    out = sets.join(per, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
-    none = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    out = known.join(per, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    none = described.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(none)
 
 
