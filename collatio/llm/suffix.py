@@ -1,11 +1,14 @@
 """Suffix-array dedup: the suffixes are sorted a bucket at a time, after a difference-cover sample has told which can repeat.
 
 Two equal strings of LENGTH bytes, at i and j, have an offset k < PERIOD at which both i + k and j + k lie in the cover
-sample (counted from the start of each document), whatever i and j are. So the SAMPLED bytes from there
+sample (counted from the start of each document), whatever i and j are. So the bytes sampled there
 repeat among the samples, and a suffix without a repeated sample among its first PERIOD places has no equal. The
-samples, 8 in 57 places, are sorted and named first, in buckets. Then only the suffixes left over are sorted by the
-fingerprint of their first LENGTH bytes, each range of fingerprints a bucket of its own, in which the
-earliest of equal suffixes is found. A bucket's memory is bounded by its share of the fingerprints.
+samples, 8 in 57 places, are sorted and named first, in buckets.
+
+Only the suffixes left over are sorted. A suffix's bucket is that of the smallest hash of any GRAM bytes among its first LENGTH,
+so equal suffixes share a bucket, and so do runs of neighbours: a run is sent as its text, once a chunk, which costs
+three bytes a suffix and not a hundred. In a bucket the first LENGTH bytes of its suffixes are sorted by their fingerprints, and each that
+equals an earlier one is marked. A bucket holds its share of the runs, so its memory is bounded by their number.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +30,79 @@ from ._store import cut, release, width
 LENGTH = 100
 #: A perfect difference set: every difference modulo PERIOD occurs between two of its members.
 PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
+#: Bytes whose smallest hash gives a suffix its bucket.
+GRAM = 16
 #: Bytes of text looked at together within a chunk.
 BATCH = 1 << 20
 
+RUNS = "bucket int, chunk int, sizes binary, texts binary"
+MARKS = "chunk int, bucket int, bits binary"
+
+
+def smallest(g: np.ndarray, w: int) -> np.ndarray:
+    """The least of every w neighbours."""
+    span = 1
+    while 2 * span <= w:
+        g = np.minimum(g[:-span], g[span:])
+        span *= 2
+    return np.minimum(g[: len(g) - (w - span)], g[w - span :]) if w > span else g
+
+
+class Runs:
+    """A chunk's runs of suffixes: each distinct one is kept once, in order, by bucket."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.known: dict[bytes, tuple[int, int]] = {}
+        self.texts: dict[int, list[bytes]] = {}
+        self.count: dict[int, int] = {}
+
+    def add(self, bucket: int, text: bytes, n: int) -> tuple[int, int, bool]:
+        """The run's bucket, the place of its first suffix among the bucket's, and whether it is the first of its kind."""
+        have = self.known.get(text)
+        if have is not None:
+            return *have, False
+        at = self.count.get(bucket, 0)
+        self.known[text] = bucket, at
+        self.texts.setdefault(bucket, []).append(text)
+        self.count[bucket] = at + n
+        return bucket, at, True
+
+    def table(self, chunk: int) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=3)
+        full = sorted(self.texts)
+        return pa.table({
+            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()),
+            "sizes": pa.array([np.array([len(x) for x in self.texts[b]], "<u4").tobytes() for b in full], pa.binary()),
+            "texts": pa.array([pack.compress(b"".join(self.texts[b])) for b in full], pa.binary()),
+        })
+
+
+def mark(sent: DataFrame, length: int) -> DataFrame:
+    """For each bucket and chunk the bits of the suffixes that equal an earlier one: of a smaller chunk, or sent before it by the same."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
+        parts = []
+        for sizes, texts in zip(t["sizes"], t["texts"], strict=True):
+            size = np.frombuffer(sizes.as_py(), "<u4").astype(np.int64)
+            buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts.as_py()), np.uint8)
+            n = size - length + 1
+            places = np.arange(n.sum()) + np.repeat(np.concatenate([[0], np.cumsum(size - n)[:-1]]), n)
+            parts.append(H.at(buf, places, length))
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        again = np.zeros(len(every), bool)
+        again[order[1:]] = every[1:] == every[:-1]
+        bits, a = [], 0
+        for p in parts:
+            bits.append(np.packbits(again[a : a + len(p)]).tobytes())
+            a += len(p)
+        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "bits": pa.array(bits, pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(run, MARKS)
+
 
 class Chunk:
     """A chunk's documents by (doc_id, text), some megabytes at a time."""
@@ -79,12 +154,14 @@ class Chunk:
         parts = [self.samples(lot)[3] for lot in self.lots]
         return np.unique(np.concatenate([*parts, self.whole[self.whole > 0]]), return_counts=True)
 
-    def suffixes(self, marks: pa.Table, buckets: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-        """Lot by lot: its documents, the places whose suffixes can repeat, their fingerprints, and which documents are whole copies of earlier ones."""
+    def runs(self, marks: pa.Table, buckets: int, into: Runs) -> Iterator[tuple[list[int], list[tuple[int, int, int, int, bool]], np.ndarray]]:
+        """Lot by lot: its documents; its runs of suffixes that can repeat, as (place, number, bucket, place in the bucket, first of its kind);
+        and which documents are whole copies of earlier ones, which have no runs."""
         u, counts = self.names()
         again = R.flags(u, marks, buckets, "other") | (counts > 1)
         earlier = R.flags(u, marks, buckets, "earlier")
         seen: set[int] = set()
+        width = self.length - GRAM + 1
         for lot in self.lots:
             buf, after, places, h = self.samples(lot)
             hit = np.zeros(len(buf) + PERIOD + 1, np.int32)
@@ -101,8 +178,15 @@ class Chunk:
                 _, at = H.join([self.texts[i] for i in lot])
                 for k in np.flatnonzero(copy):
                     may[at[k] : at[k + 1]] = False
-            where = np.flatnonzero(may)
-            yield lot, where, H.at(buf, where, self.length), copy
+            where, found = np.flatnonzero(may), []
+            if len(where):
+                least = smallest(H.at(buf, np.arange(len(buf) - GRAM + 1), GRAM), width)[where]
+                new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1] + 1) | (least[1:] != least[:-1])]))
+                data = buf.tobytes()
+                bucket = (((least[new] >> np.uint64(32)) * np.uint64(into.buckets)) >> np.uint64(32)).tolist()
+                for a, n, b in zip(where[new].tolist(), np.diff(np.append(new, len(where))).tolist(), bucket, strict=True):
+                    found.append((a, n, *into.add(b, data[a : a + n + self.length - 1], n)))
+            yield lot, found, copy
 
 
 def _names(docs: DataFrame, length: int, chunks: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
@@ -116,15 +200,17 @@ def _names(docs: DataFrame, length: int, chunks: int, buckets: int, id_col: str,
 
 def _repeats(docs: DataFrame, names: DataFrame, length: int, chunks: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
     def emit(t: pa.Table, marks: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return R.blocks(0, np.zeros(0, np.uint64), buckets)
-        c = Chunk(t, length)
-        parts = [h for _, _, h, _ in c.suffixes(marks, buckets)] if c.number >= 0 else []
-        return R.blocks(c.number, np.unique(np.concatenate([np.zeros(0, np.uint64), *parts])), buckets)
+        into, number = Runs(buckets), 0
+        if t.num_rows:
+            c = Chunk(t, length)
+            number = c.number
+            for _ in c.runs(marks, buckets, into) if number >= 0 else ():
+                pass
+        return into.table(number)
 
     base = R.chunked(docs, chunks, id_col, text_col)
-    sent = base.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(emit, R.BLOCK)
-    return cut(R.answers(sent), "op9-repeats")
+    sent = base.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(emit, RUNS)
+    return cut(mark(sent, length), "op9-repeats")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     release(spark)
     repeats = _repeats(docs, names, length, chunks, buckets, id_col, text_col)
     release(spark)
-    marks = names.withColumn("of", F.lit(0)).unionByName(repeats.withColumn("of", F.lit(1)))
+    marks = names.unionByName(repeats, allowMissingColumns=True)
     base = R.chunked(docs, chunks, id_col, text_col, carry=True)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     out = T.StructType([
@@ -160,20 +246,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             return pa.table({n: pa.array([]) for n in ("doc_id", "n_bytes", "n_removed", "spans", "kept", "row")})
         c = Chunk(t, length)
         removed, spans, kept = [0] * len(c.texts), [[] for _ in c.texts], list(c.texts)
-        of = np.array(marks["of"].to_pylist(), np.int64)
-        lots = list(c.suffixes(marks.filter(pa.array(of == 0)), buckets)) if c.number >= 0 else []
-        h = np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in lots)])
-        u, where = np.unique(h, return_index=True)
-        earlier = R.flags(u, marks.filter(pa.array(of == 1)), buckets, "earlier")
-        done = 0
-        for lot, places, own, copy in lots:
-            k = np.searchsorted(u, own)
-            later = earlier[k] | (where[k] != np.arange(done, done + len(own)))
-            done += len(own)
+        again = {b: np.unpackbits(np.frombuffer(x, np.uint8)) for b, x in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True) if x is not None}
+        marks = marks.filter(pc.is_valid(marks["other"]))
+        for lot, found, copy in c.runs(marks, buckets, Runs(buckets)) if c.number >= 0 else ():
             _, at = H.join([c.texts[i] for i in lot])
             step = np.zeros(int(at[-1]) + 1, np.int32)
-            np.add.at(step, places[later], 1)
-            np.add.at(step, places[later] + length, -1)
+            for place, n, bucket, first, new in found:
+                if new:
+                    later = np.flatnonzero(again[bucket][first : first + n]) + place
+                    step[later] += 1
+                    step[later + length] -= 1
+                else:  # its suffixes stand in an earlier run
+                    step[place] += 1
+                    step[place + n + length - 1] -= 1
             covered = np.cumsum(step[:-1]) > 0
             for j in np.flatnonzero(copy):
                 covered[at[j] : at[j + 1] - 1] = True
