@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words, and stems of words, kept with their ids in each worker; a cache starts anew beyond its number.
-WORDS, STEMS = 150_000, 400_000
+WORDS, STEMS = 300_000, 700_000
 #: What may follow a stem. None of it joins the letter or digit before it in the vocabulary's splitter.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LOT = 4096
