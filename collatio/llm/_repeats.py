@@ -26,16 +26,19 @@ MARKS = "chunk int, bucket int, other binary, earlier binary"
 POINTS = 128
 
 
-def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def knots(docs: DataFrame, id_col: str = "doc_id") -> list[int]:
+    """Quantiles of the ids. A sketch depends on the order in which tasks end, so it is taken once and handed to every `chunked`."""
+    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / POINTS for i in range(POINTS + 1)], 10_000).alias("q")).first()
+    out = sorted(set(got["q"] or [0]))
+    return [*out, out[-1] + 1]
+
+
+def chunked(docs: DataFrame, chunks: int, knots: list[int], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """docs as (chunk, doc_id, text[, row]), dealt by chunk; row holds the other columns in a struct.
 
-    The chunk is a monotone function of doc_id: quantiles of doc_id (a sketch of POINTS numbers) are its
-    knots, and between two knots it is interpolated, so any distribution of ids gives even chunks.
-    Rows with a null doc_id go to chunk -1 - i by their text.
+    The chunk is a monotone function of doc_id: between two knots it is interpolated, so any distribution of ids
+    gives even chunks, and the same knots give the same chunks. Rows with a null doc_id go to chunk -1 - i by their text.
     """
-    got = docs.agg(F.percentile_approx(F.col(id_col), [i / POINTS for i in range(POINTS + 1)], 10_000).alias("q")).first()
-    knots = sorted(set(got["q"] or [0]))
-    knots.append(knots[-1] + 1)
     n = len(knots) - 1
     lo, x = F.array(*map(F.lit, knots)), F.col(id_col)
     place = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.size(F.filter(lo, lambda b: b <= x)) - 1))

@@ -123,7 +123,8 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     chunk, but for the first.
     """
     chunks, buckets = 2 * width(docs.sparkSession), width(docs.sparkSession)
-    marks = _levels(docs, words, chunks, buckets)
+    knots = R.knots(docs)
+    marks = _levels(docs, words, chunks, buckets, knots)
     release(docs.sparkSession)
 
     def describe(t: pa.Table, marks: pa.Table) -> pa.Table:
@@ -152,17 +153,17 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n", "a", "b", "prefix", "members"])
 
-    base = R.chunked(docs, chunks)
+    base = R.chunked(docs, chunks, knots)
     return base.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(describe, SETS)
 
 
-def _levels(docs: DataFrame, words: int, chunks: int, buckets: int) -> DataFrame:
+def _levels(docs: DataFrame, words: int, chunks: int, buckets: int, knots: list[int]) -> DataFrame:
     def emit(t: pa.Table) -> pa.Table:
         chunk = t["chunk"][0].as_py()
         parts = [h for _, _, h, _ in _lots(R.texts(t), words)] if chunk >= 0 else []
         return R.blocks(chunk, np.unique(np.concatenate([np.zeros(0, np.uint64), *parts])), buckets)
 
-    return cut(R.levels(R.chunked(docs, chunks).groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op5-levels")
+    return cut(R.levels(R.chunked(docs, chunks, knots).groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op5-levels")
 
 
 def candidates(described: DataFrame, percent: int) -> DataFrame:

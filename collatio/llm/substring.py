@@ -27,7 +27,7 @@ def _windows(t: pa.Table, window: int):
     return t, texts, ids, first, h, at
 
 
-def _marks(docs: DataFrame, window: int, chunks: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _marks(docs: DataFrame, window: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
     """For each chunk which of its windows an earlier chunk has. A function of its own, so that nothing holds its shuffles."""
 
     def emit(t: pa.Table) -> pa.Table:
@@ -35,7 +35,7 @@ def _marks(docs: DataFrame, window: int, chunks: int, buckets: int, id_col: str,
         _, _, _, _, h, _ = _windows(t, window)
         return R.blocks(chunk, np.unique(h) if chunk >= 0 else h[:0], buckets)
 
-    base = R.chunked(docs, chunks, id_col, text_col)
+    base = R.chunked(docs, chunks, knots, id_col, text_col)
     return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op1-marks")
 
 
@@ -54,9 +54,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, squeeze: bool = True,
     neither compared nor changed, only their words are joined. An empty table gives an empty table.
     """
     chunks, buckets = 2 * width(docs.sparkSession), width(docs.sparkSession)
-    marks = _marks(docs, window, chunks, buckets, id_col, text_col)
+    knots = R.knots(docs, id_col)
+    marks = _marks(docs, window, chunks, buckets, knots, id_col, text_col)
     release(docs.sparkSession)
-    base = R.chunked(docs, chunks, id_col, text_col, carry=True)
+    base = R.chunked(docs, chunks, knots, id_col, text_col, carry=True)
     out = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),

@@ -189,16 +189,16 @@ class Chunk:
             yield lot, found, copy
 
 
-def _names(docs: DataFrame, length: int, chunks: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _names(docs: DataFrame, length: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
     def emit(t: pa.Table) -> pa.Table:
         c = Chunk(t, length)
         return R.blocks(c.number, c.names()[0] if c.number >= 0 else np.zeros(0, np.uint64), buckets)
 
-    base = R.chunked(docs, chunks, id_col, text_col)
+    base = R.chunked(docs, chunks, knots, id_col, text_col)
     return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op9-names")
 
 
-def _repeats(docs: DataFrame, names: DataFrame, length: int, chunks: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _repeats(docs: DataFrame, names: DataFrame, length: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
     def emit(t: pa.Table, marks: pa.Table) -> pa.Table:
         into, number = Runs(buckets), 0
         if t.num_rows:
@@ -208,7 +208,7 @@ def _repeats(docs: DataFrame, names: DataFrame, length: int, chunks: int, bucket
                 pass
         return into.table(number)
 
-    base = R.chunked(docs, chunks, id_col, text_col)
+    base = R.chunked(docs, chunks, knots, id_col, text_col)
     sent = base.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(emit, RUNS)
     return cut(mark(sent, length), "op9-repeats")
 
@@ -229,12 +229,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError(f"length must be over {PERIOD}")
     spark = docs.sparkSession
     chunks, buckets = 2 * width(spark), width(spark)
-    names = _names(docs, length, chunks, buckets, id_col, text_col)
+    knots = R.knots(docs, id_col)
+    names = _names(docs, length, chunks, buckets, knots, id_col, text_col)
     release(spark)
-    repeats = _repeats(docs, names, length, chunks, buckets, id_col, text_col)
+    repeats = _repeats(docs, names, length, chunks, buckets, knots, id_col, text_col)
     release(spark)
     marks = names.unionByName(repeats, allowMissingColumns=True)
-    base = R.chunked(docs, chunks, id_col, text_col, carry=True)
+    base = R.chunked(docs, chunks, knots, id_col, text_col, carry=True)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     out = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
