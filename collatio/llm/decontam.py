@@ -20,8 +20,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Words of a shingle, and the share of the question's and of the answer's shingles that a leak holds.
 SHINGLE, OVERLAP = 5, 0.8
-#: Items of an index block, and items and bytes of an index; more items go to more indexes, one pass over the documents each.
-BLOCK = 16
+#: Items of an index block. A term in more than this share of the blocks (or items) counts with its largest impact in all of them.
+BLOCK, COMMON = 16, 0.25
+#: Items and bytes of an index; more items go to more indexes, one pass over the documents each.
 SHARD_ITEMS, SHARD_BYTES = 20_000, 16 << 20
 #: Words of the smallest class of items. Passages are twice as long as the longest item of a class and overlap by half.
 CLASS = 64
@@ -73,17 +74,12 @@ class Index:
         self.weights = [weight[a : a + k].tolist() for a, k in zip(at, df, strict=True)]
         self.most = np.array([max(x) for x in self.weights])
         self.blocks: list[dict[int, float]] = []
-        ptr, blk, top = [0], [], []
         for docs, ws in zip(self.items, self.weights, strict=True):
             best: dict[int, float] = {}
             for d, x in zip(docs, ws, strict=True):
                 best[d // BLOCK] = max(best.get(d // BLOCK, 0.0), x)
             self.blocks.append(best)
-            blk += best
-            top += best.values()
-            ptr.append(len(blk))
-        self.ptr, self.blk, self.top = np.array(ptr, np.int64), np.array(blk, np.int64), np.array(top)
-        self.n_blocks = (n + BLOCK - 1) // BLOCK
+        self.bounds = [self._bounds([list(x) for x in self.blocks], [list(x.values()) for x in self.blocks], -(-n // BLOCK)), self._bounds(self.items, self.weights, n)]
         parts = [split(t) for t in texts]
         self.question = [_shingles(q) for q, _ in parts]
         self.answer = [_shingles(a) for _, a in parts]
@@ -94,21 +90,33 @@ class Index:
         k[k == len(self.terms)] = 0
         return np.where(self.terms[k] == w, k, -1) if len(self.terms) else np.full(len(w), -1)
 
+    @staticmethod
+    def _bounds(places: list[list[int]], tops: list[list[float]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """For each term where it counts and how much at most, in one array; and which terms are common."""
+        ptr = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int64)
+        flat = lambda lists, kind: np.array([x for own in lists for x in own], kind)
+        return ptr, flat(places, np.int64), flat(tops, np.float64), np.diff(ptr) > COMMON * n, n
+
     def may(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """Which of n passages, given as distinct (passage, term) pairs, reach the threshold by the block maxima of any block."""
-        out = np.zeros(n, bool)
-        step = max(1, (1 << 22) // max(1, self.n_blocks))
-        edges = np.searchsorted(passage, np.arange(0, n + step, step))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            lo = i * step
-            if a == b:
-                continue
-            p, t = passage[a:b] - lo, term[a:b]
-            count = self.ptr[t + 1] - self.ptr[t]
-            at = np.repeat(self.ptr[t] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            bound = np.bincount(np.repeat(p, count) * self.n_blocks + self.blk[at], weights=self.top[at], minlength=min(step, n - lo) * self.n_blocks)
-            out[lo : lo + step] = (bound.reshape(-1, self.n_blocks) >= threshold - 1e-9).any(axis=1)
-        return out
+        """Which of n passages, given as distinct (passage, term) pairs, can reach the threshold: by the maxima of the blocks, then of
+        the items, of those left. Common terms aren't looked up, they count with their maxima."""
+        left = np.ones(n, bool)
+        for ptr, places, tops, common, width in self.bounds:
+            own = np.flatnonzero(left)
+            number = np.cumsum(left) - 1
+            keep = left[passage]
+            p, t = number[passage[keep]], term[keep]
+            low = np.bincount(p[common[t]], weights=self.most[t[common[t]]], minlength=len(own))
+            p, t = p[~common[t]], t[~common[t]]
+            step = max(1, (1 << 21) // max(1, width))
+            edges = np.searchsorted(p, np.arange(0, len(own) + step, step))
+            for lo, a, b in zip(range(0, len(own), step), edges[:-1], edges[1:], strict=False):
+                count = ptr[t[a:b] + 1] - ptr[t[a:b]]
+                at = np.repeat(ptr[t[a:b]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                size = min(step, len(own) - lo)
+                bound = np.bincount(np.repeat(p[a:b] - lo, count) * width + places[at], weights=tops[at], minlength=size * width)
+                left[own[lo : lo + size]] = low[lo : lo + size] + bound.reshape(size, width).max(axis=1, initial=0.0) >= threshold - 1e-9
+        return left
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item that scores at least the threshold for the passage's distinct terms, by block-max WAND.
