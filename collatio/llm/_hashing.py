@@ -123,3 +123,16 @@ def at(buf: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
         p = places[i:j] - a
         out[i:j] = mix((sums[p + length] - sums[p]) * inverse[p])
     return out
+
+
+def grams(buf: np.ndarray, length: int) -> np.ndarray:
+    """The upper half of the hash of the `length` bytes from every place."""
+    out = np.zeros(max(0, len(buf) - length + 1), np.uint32)
+    for a in range(0, len(out), SLICE):
+        part = buf[a : a + SLICE + length - 1]
+        n = len(part) - length + 1
+        power, inverse = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        out[a : a + n] = mix((sums[length:] - sums[:n]) * inverse[:n]) >> np.uint64(32)
+    return out

@@ -13,6 +13,7 @@ equals an earlier one is marked. A bucket holds its share of the runs, so its me
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ LENGTH = 100
 PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
 #: Bytes whose smallest hash gives a suffix its bucket.
 GRAM = 16
-#: Bytes of text looked at together within a chunk.
-BATCH = 1 << 20
+#: Bytes of text looked at together within a chunk, and fingerprints sorted together in a bucket.
+BATCH, SORTED = 1 << 20, 1 << 20
 
 RUNS = "bucket int, chunk int, sizes binary, texts binary"
 MARKS = "chunk int, bucket int, bits binary"
@@ -90,15 +91,21 @@ def mark(sent: DataFrame, length: int) -> DataFrame:
             n = size - length + 1
             places = np.arange(n.sum()) + np.repeat(np.concatenate([[0], np.cumsum(size - n)[:-1]]), n)
             parts.append(H.at(buf, places, length))
+        ends = np.cumsum([len(p) for p in parts])
         every = np.concatenate(parts)
-        order = np.argsort(every, kind="stable")
-        every = every[order]
+        del parts
         again = np.zeros(len(every), bool)
-        again[order[1:]] = every[1:] == every[:-1]
+        lots = 1 + len(every) // SORTED
+        which = ((every & np.uint64(0xFFFFFFFF)) * np.uint64(lots) >> np.uint64(32)).astype(np.uint16)
+        for k in range(lots):  # equal fingerprints are in one lot; a lot bounds what a sort needs
+            own = np.flatnonzero(which == k)
+            order = np.argsort(every[own], kind="stable")
+            own = own[order]
+            again[own[1:]] = every[own[1:]] == every[own[:-1]]
         bits, a = [], 0
-        for p in parts:
-            bits.append(np.packbits(again[a : a + len(p)]).tobytes())
-            a += len(p)
+        for b in ends.tolist():
+            bits.append(np.packbits(again[a:b]).tobytes())
+            a = b
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "bits": pa.array(bits, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, MARKS)
@@ -127,14 +134,7 @@ class Chunk:
 
     def _fingerprint(self, x: bytes) -> int:
         """Of a whole text; all texts too short to hold a repeat differ."""
-        if len(x) < self.length:
-            return 0
-        parts = [H.at(np.frombuffer(x, np.uint8), np.array([a]), min(H.SLICE, len(x) - a))[0] for a in range(0, len(x), H.SLICE)]
-        h = np.uint64(len(x))
-        with np.errstate(over="ignore"):
-            for p in parts:
-                h = H.mix(np.array([h * np.uint64(H.Q) + p]))[0]
-        return int(h)
+        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") or 1 if len(x) >= self.length else 0
 
     def joined(self, lot: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lot's buffer, each place's offset in its text, and how many bytes of the text follow from it."""
@@ -143,27 +143,27 @@ class Chunk:
         offset = np.arange(len(buf)) - np.repeat(at[:-1], size)
         return buf, offset, np.repeat(size - 1, size) - offset
 
-    def samples(self, lot: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The buffer, what follows each place, the places in the sample, and the hashes of the sampled bytes there."""
+    def samples(self, lot: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the lot's buffer that are in the sample, and the hashes of the sampled bytes there."""
         buf, offset, after = self.joined(lot)
         places = np.flatnonzero(self.cover[offset % PERIOD] & (after >= self.sampled))
-        return buf, after, places, H.at(buf, places, self.sampled)
+        return places, H.at(buf, places, self.sampled)
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
+    def names(self, sampled: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct sample hashes and whole-text fingerprints, sorted, and their counts."""
-        parts = [self.samples(lot)[3] for lot in self.lots]
-        return np.unique(np.concatenate([*parts, self.whole[self.whole > 0]]), return_counts=True)
+        return np.unique(np.concatenate([*(h for _, h in sampled), self.whole[self.whole > 0]]), return_counts=True)
 
     def runs(self, marks: pa.Table, buckets: int, into: Runs) -> Iterator[tuple[list[int], list[tuple[int, int, int, int, bool]], np.ndarray]]:
         """Lot by lot: its documents; its runs of suffixes that can repeat, as (place, number, bucket, place in the bucket, first of its kind);
         and which documents are whole copies of earlier ones, which have no runs."""
-        u, counts = self.names()
+        sampled = [self.samples(lot) for lot in self.lots]
+        u, counts = self.names(sampled)
         again = R.flags(u, marks, buckets, "other") | (counts > 1)
         earlier = R.flags(u, marks, buckets, "earlier")
         seen: set[int] = set()
         width = self.length - GRAM + 1
-        for lot in self.lots:
-            buf, after, places, h = self.samples(lot)
+        for lot, (places, h) in zip(self.lots, sampled, strict=True):
+            buf, _, after = self.joined(lot)
             hit = np.zeros(len(buf) + PERIOD + 1, np.int32)
             hit[places + 1] = again[np.searchsorted(u, h)]
             np.cumsum(hit, out=hit)
@@ -180,10 +180,11 @@ class Chunk:
                     may[at[k] : at[k + 1]] = False
             where, found = np.flatnonzero(may), []
             if len(where):
-                least = smallest(H.at(buf, np.arange(len(buf) - GRAM + 1), GRAM), width)[where]
+                least = smallest(H.grams(buf, GRAM), width)[where]
                 new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1] + 1) | (least[1:] != least[:-1])]))
                 data = buf.tobytes()
-                bucket = (((least[new] >> np.uint64(32)) * np.uint64(into.buckets)) >> np.uint64(32)).tolist()
+                bucket = (H.mix(least[new].astype(np.uint64)) >> np.uint64(32)) * np.uint64(into.buckets) >> np.uint64(32)
+                bucket = bucket.tolist()
                 for a, n, b in zip(where[new].tolist(), np.diff(np.append(new, len(where))).tolist(), bucket, strict=True):
                     found.append((a, n, *into.add(b, data[a : a + n + self.length - 1], n)))
             yield lot, found, copy
@@ -192,7 +193,7 @@ class Chunk:
 def _names(docs: DataFrame, length: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
     def emit(t: pa.Table) -> pa.Table:
         c = Chunk(t, length)
-        return R.blocks(c.number, c.names()[0] if c.number >= 0 else np.zeros(0, np.uint64), buckets)
+        return R.blocks(c.number, c.names([c.samples(lot) for lot in c.lots])[0] if c.number >= 0 else np.zeros(0, np.uint64), buckets)
 
     base = R.chunked(docs, chunks, knots, id_col, text_col)
     return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op9-names")
