@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._store import cut
 
+#: Links to a task, about, and the compression of tables that are read once.
+LOT, PLAIN = 1 << 20, "uncompressed"
+
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) to (id, component): the smallest id that each linked id reaches, itself included.
@@ -17,15 +20,16 @@ def components(links: DataFrame) -> DataFrame:
     nor stuck in one task: a small table of minima is broadcast by its known size, a large one is joined with
     splitting. Links to itself and repeated links don't matter. No link, no row.
     """
-    now = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", PLAIN)
     seen = None
     while (state := tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != seen and state[0]:
         seen = state
+        tasks = 1 + state[0] // LOT  # a round's tables are as large as the links, and often few: no task or file for nothing
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "links")
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "links")
+        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).coalesce(tasks), "links", PLAIN)
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks), "links", PLAIN)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), "links", PLAIN)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks), "links", PLAIN)
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
