@@ -56,3 +56,9 @@ def release(spark: SparkSession) -> None:
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set for the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores: dealt anew where its scan has fewer partitions than the cluster has cores, as one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

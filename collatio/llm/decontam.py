@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _hashing as H
+from ._store import spread
 from .toxicity import GAP
 
 K1, B = 1.2, 0.75
@@ -244,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     bounded; a larger benchmark is taken in several.
     """
     spark = docs.sparkSession
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     out = spark.createDataFrame([], FOUND)
 
     def one(index: Index) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._hashing import mix
-from ._store import cut, new_path, release
+from ._store import cut, new_path, release, spread
 from ._tokens import default_path, tokens
 from .warc import _fs
 
@@ -97,7 +97,7 @@ def sequences(docs: DataFrame, tokenizer_path: str | None = None, length: int =
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([pack.compress(own.tobytes())], pa.binary())], ["part", "first", "count", "block"])
                     first += len(own)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "part int, first bigint, count bigint, block binary")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "part int, first bigint, count bigint, block binary")
 
 
 MANIFEST = "shard bigint, path string, first_slot bigint, records bigint, stride int, crc32 bigint"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _hashing as H
+from ._store import spread
 
 #: Bounds of the labelled sample that the model is fitted on: documents, and bytes of each of them.
 SAMPLE_DOCS = 8000
@@ -207,7 +208,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", least: float =
                 bad = [[{"start": int(x), "stop": int(y), "score": float(z)} for x, y, z in zip(*(v[s >= least] for v in (i, j, s)), strict=True)] for i, j, s in per]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64()), pa.array(bad, spans)], [*keep, "score", "offending"])
 
-    fields = docs.select(*(F.col(f"`{c}`") for c in keep))
+    fields = spread(docs.select(*(F.col(f"`{c}`") for c in keep)))
     schema = T.StructType([*fields.schema, *T.StructType.fromDDL("score double, offending array<struct<start:bigint,stop:bigint,score:double>>")])
     return fields.mapInArrow(run, schema)
 
