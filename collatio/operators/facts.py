@@ -94,3 +94,8 @@ def within_budget(log: DataFrame, run: str, seq: str, cost: str, budget: float,
     rows = log.withColumns({"spent": F.sum(F.coalesce(cost, F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(order)})
     spent_before = F.max(F.when(F.col("place") % batch == 0, F.col("spent"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("before", F.coalesce(spent_before, F.lit(0.0))).where(F.col("before") <= budget).drop("before", "place")
+
+
+def orphans(rows: DataFrame, dimension: DataFrame, key: str, other: str | None = None) -> DataFrame:
+    """Keys that a dimension lacks; a sound configuration has none."""
+    return rows.where(F.col(key).isNotNull()).select(key).distinct().join(dimension.select(F.col(other or key).alias(key)), key, "left_anti")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from collatio import schema as C
 from collatio.functions import rates as R
-from collatio.operators import bootstrap, facts, judging, profile
-from collatio.sources import bundles, pagexml, records
+from collatio.operators import bootstrap, facts, judging, profile, runners
+from collatio.sources import archives, bundles, pagexml, records
 
 
 def value(spark, column):
@@ -165,3 +165,55 @@ def test_records(spark, tmp_path):
     listed = files.select("path", "sha256").unionByName(spark.createDataFrame([("gone", "0")], "path string, sha256 string"))
     assert [r["problem"] for r in records.verify(listed, files).collect()] == ["missing"]
     assert bundles.run_id("s") == "s__r0" and not math.isnan(1.0)
+
+
+class Upper:
+    """Fails once on each page, always on "bad", and refuses "no"."""
+
+    def setup(self):
+        self.seen = set()
+
+    def predict(self, page):
+        if page["page_id"] == "no":
+            raise runners.Refused("won't")
+        if page["page_id"] == "bad" or page["page_id"] not in self.seen:
+            self.seen.add(page["page_id"])
+            raise OSError("down")
+        return {"text": page["image"].upper(), "tokens_in": 3}
+
+
+def test_runner(spark):
+    pages = spark.createDataFrame([("1", "a"), ("bad", "b"), ("no", "c"), ("2", "d")], "page_id string, image string").coalesce(1)
+    got = {r["page_id"]: r for r in runners.run(pages, Upper, attempts=3, sleep=lambda s: None).collect()}
+    assert got["1"]["text"] == "A" and got["2"]["text"] == "D" and got["1"]["error"] is None and got["1"]["tokens_in"] == 3
+    assert got["bad"]["error"] == "OSError: down" and got["no"]["error"].startswith("Refused")
+    assert [runners.wait(k, 0) for k in range(7)] == [2, 4, 8, 16, 32, 60, 60]
+    lines = spark.createDataFrame([("p", 1, "b"), ("p", 0, "a")], "page_id string, line_idx int, text string")
+    assert runners.regroup(lines).first()["text"] == "a\nb"
+    boxes = spark.createDataFrame([("p", 5, 9, "c"), ("p", 5, 2, "b"), ("p", 1, 50, "a")], "page_id string, y int, x int, text string")
+    assert runners.reading_order(boxes).first()["text"] == "a\nb\nc"
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("predictions.jsonl", '{"page_id":"1","text":"x"}\n\n{"page_id":"2"}\n')
+        z.writestr("page/0001.xml", XML)
+        z.writestr("page/mets.xml", "<x/>")
+    assert sorted(r["page_id"] for r in archives.records(spark, str(tmp_path), "predictions.jsonl", C.BUNDLE_PREDICTION).collect()) == ["1", "2"]
+    xml = archives.layouts(spark, str(tmp_path))
+    assert xml.count() == 1 and pagexml.lines(xml.withColumn("xml", F.regexp_replace("xml", r"<\?xml.*?\?>", ""))).count() == 3
+    (tmp_path / "c.yaml").write_text("models:\n- {model_id: m, usd_per_m_in: 1.5}\n")
+    prices = archives.as_table(spark, archives.read_yaml(spark, str(tmp_path / "c.yaml"))["models"], C.PRICE)
+    assert prices.first()["usd_per_m_in"] == 1.5
+    with pytest.raises(ValueError):
+        archives.as_table(spark, [{"what": 1}], C.PRICE)
+    systems = spark.createDataFrame([("s", "m"), ("t", "gone"), ("u", None)], "system_id string, price_key string")
+    assert [r[0] for r in facts.orphans(systems, prices, "price_key", "model_id").collect()] == ["gone"]
+    assert value(spark, archives.model_of(F.lit("x model_id=123 y"))) == "123" and value(spark, archives.model_of(F.lit("x"))) is None
+    records.write_table(systems, str(tmp_path / "t"), ["system_id"])
+    assert archives.read_table(spark, str(tmp_path / "t")).count() == 3
+    records.write_lines(systems, str(tmp_path / "l"))
+    records.write_lines(systems, str(tmp_path / "l"), append=True)
+    assert spark.read.json(str(tmp_path / "l")).count() == 6
