@@ -33,6 +33,22 @@ def _lines(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)])
 
 
+def _distances(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or h is None else K.distance(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="Int64")
+
+
+#: Characters up to which Spark's own distance is taken. It fills a table, so its time is a product of lengths; the kernel works on a
+#: whole row of it at once, in words of a big integer, and wins by far on the few long lines that would hold up a stage.
+SHORT = 512
+
+
+def char_edits(ref: Column, hyp: Column) -> Column:
+    """Insertions, deletions and substitutions: Spark's for short pairs, the kernel's for long ones, which alone are sent to it."""
+    long = F.greatest(F.length(ref), F.length(hyp)) > SHORT
+    kernel = F.pandas_udf(_distances, "bigint")(F.when(long, ref), F.when(long, hyp))
+    return F.when(long, kernel).otherwise(F.levenshtein(F.when(~long, ref), F.when(~long, hyp)).cast("long"))
+
+
 def page_counts(ref: Column, hyp: Column, failed: Column) -> Column:
     """struct of all counts of a page and the keys of its substituted words."""
     return F.pandas_udf(_page, PAGE)(ref, hyp, F.coalesce(failed, F.lit(False)))

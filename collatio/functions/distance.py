@@ -11,22 +11,9 @@ from .text import tokens
 FIRST, ROOM = 0x4E00, 0xD800 - 0x4E00
 
 
-#: Distances tried as bands around the diagonal before the whole table: a line of n characters costs n times the band, not n * n.
-BANDS = (32, 512)
-
-
-def _distance(a: Column, b: Column) -> Column:
-    """The exact distance: by the first band it fits in, else by the whole table."""
-    out = F.levenshtein(a, b)
-    for band in reversed(BANDS):
-        near = F.levenshtein(a, b, band)
-        out = F.when(near >= 0, near).otherwise(out)
-    return F.when(a == b, 0).otherwise(out)
-
-
 def char_edits(ref: Column, hyp: Column) -> Column:
-    """Insertions, deletions and substitutions of code points."""
-    return _distance(ref, hyp).cast("long")
+    """Insertions, deletions and substitutions of code points. For long lines see `align.char_edits`."""
+    return F.levenshtein(ref, hyp).cast("long")
 
 
 def _as_symbols(words: Column, known: Column) -> Column:
@@ -62,4 +49,4 @@ def wer(ref: Column, hyp: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length; 1 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - _distance(a, b) / F.nullif(longer, F.lit(0)))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / F.nullif(longer, F.lit(0)))

@@ -9,6 +9,13 @@ from ..functions import align
 from ..functions import text as T
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to all cores, by keys or evenly, ahead of work that weighs more than its rows; a given number isn't coalesced again."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def last_success(log: DataFrame, keys: list[str], seq: str, error: Column) -> DataFrame:
     """One record a key: the last without an error; without any, the first with one.
 
@@ -55,7 +62,7 @@ def score(pages: DataFrame, predictions: DataFrame, vocabulary: DataFrame | None
     after a shuffle by page so that all cores align; real words are a join, so the vocabulary may be of any size.
     """
     both = predictions.join(pages.select("page_id", "corpus", "gt_text"), "page_id").withColumn("failed", failed(F.col("text"), F.col("error")))
-    rows = both.repartition("run_id", "page_id").select("run_id", "system_id", "page_id", "corpus", F.col("failed").alias("error"), align.page_counts(F.col("gt_text"), F.col("text"), F.col("failed")).alias("c"))
+    rows = spread(both, "run_id", "page_id").select("run_id", "system_id", "page_id", "corpus", F.col("failed").alias("error"), align.page_counts(F.col("gt_text"), F.col("text"), F.col("failed")).alias("c"))
     rows = rows.select("run_id", "system_id", "page_id", "corpus", "error", "c.*")
     rows = rows.withColumn("n_sub_words", F.size("substituted").cast("long"))
     if vocabulary is None:

@@ -11,7 +11,7 @@ from ..functions import rates as R
 from ..functions import text as T
 from ..operators import facts
 from . import sql as Q
-from .catalog import query, table
+from .catalog import query, table, texts
 
 DOC = "documents"
 
@@ -20,7 +20,7 @@ def _digest(name: str, f, expression: str) -> None:
     """A query that applies one text function to all documents."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = f(F.col("text"))
-        return table(spark, sf_dir, DOC).select("doc_id", value.alias("v")).select("doc_id", F.length("v").alias("n_chars"), F.md5("v").alias("md5"))
+        return texts(spark, sf_dir, DOC).select("doc_id", value.alias("v")).select("doc_id", F.length("v").alias("n_chars"), F.md5("v").alias("md5"))
 
     query(name, f"SELECT doc_id, CAST(length(v) AS INTEGER) AS n_chars, md5(v) AS md5 FROM (SELECT doc_id, {expression} AS v FROM documents)")(run)
 
@@ -33,34 +33,34 @@ for _tier in T.TIERS:
 
 @query("split_lines", f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_idx, l[i] AS line FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, {Q.split_lines('text')} AS l FROM documents))")
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, DOC).select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("line_idx", "line"))
+    return texts(spark, sf_dir, DOC).select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("line_idx", "line"))
 
 
 @query("tokens_stripped", f"SELECT lower({Q.strip_token('t')}) AS word, count(*) AS n FROM (SELECT unnest({Q.tokens('text')}) AS t FROM documents) GROUP BY 1")
 def tokens_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, DOC).select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(T.key(F.col("t")).alias("word")).agg(F.count("*").alias("n"))
+    return texts(spark, sf_dir, DOC).select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(T.key(F.col("t")).alias("word")).agg(F.count("*").alias("n"))
 
 
 @query("numeral_tokens", f"SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest(list_transform({Q.tokens('text')}, lambda w: {Q.strip_token('w')})) AS t FROM documents) WHERE regexp_matches(t, '\\p{{Nd}}') GROUP BY ALL")
 def numeral_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, DOC).select("doc_id", F.explode(T.numeral_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return texts(spark, sf_dir, DOC).select("doc_id", F.explode(T.numeral_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 @query("clean_output", f"SELECT conv_id, turn, {Q.clean('text')} AS cleaned FROM conversations")
 def clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.clean(table(spark, sf_dir, "conversations"), "text", "cleaned").select("conv_id", "turn", "cleaned")
+    return T.clean(texts(spark, sf_dir, "conversations"), "text", "cleaned").select("conv_id", "turn", "cleaned")
 
 
 @query("html_cell_text", f"SELECT page_id, {Q.block_text('''coalesce(html, '')''')} AS text FROM pages")
 def html_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.block_text(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", T.block_text(F.col("html")).alias("text"))
 
 
 @query("punct_caps_totals", r"""SELECT lang, CAST(sum(len(regexp_extract_all(text, '[\p{P}\p{S}]'))) AS BIGINT) AS n_punct, CAST(sum(len(regexp_extract_all(text, '\p{Lu}'))) AS BIGINT) AS n_caps,
 CAST(sum(len(regexp_extract_all(text, """ + Q.quote(T.PERIOD_CLASS) + r"""))) AS BIGINT) AS n_glyphs FROM documents GROUP BY lang""")
 def punct_caps_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf_dir, DOC).groupBy("lang").agg(F.sum(T.punctuation(c)).alias("n_punct"), F.sum(T.capitals(c)).alias("n_caps"), F.sum(T.period_glyphs(c)).alias("n_glyphs"))
+    return texts(spark, sf_dir, DOC).groupBy("lang").agg(F.sum(T.punctuation(c)).alias("n_punct"), F.sum(T.capitals(c)).alias("n_caps"), F.sum(T.period_glyphs(c)).alias("n_glyphs"))
 
 
 _WORD = f"lower({Q.strip_token('t')})"
@@ -76,7 +76,7 @@ w AS (SELECT lang, {_WORD} AS word, count(*) AS n FROM (SELECT lang, unnest({Q.t
 k AS (SELECT lang, n, word <> '' AND (regexp_matches(word, '^\p{{Nd}}+$') OR (regexp_matches(word, '\p{{L}}') AND word IN (SELECT word FROM v))) AS is_word FROM w)
 SELECT lang, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(CASE WHEN is_word THEN n ELSE 0 END) AS BIGINT) AS n_real, CAST(sum(CASE WHEN is_word THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS share FROM k GROUP BY lang""")
 def real_word_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, DOC).select("lang", F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("lang", T.key(F.col("t")).alias("word")).agg(F.count("*").alias("n"))
+    words = texts(spark, sf_dir, DOC).select("lang", F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("lang", T.key(F.col("t")).alias("word")).agg(F.count("*").alias("n"))
     listed = facts.vocabulary(table(spark, sf_dir, "benchmark")).withColumn("listed", F.lit(True))
     real = F.when(facts.is_word(F.col("word"), F.coalesce("listed", F.lit(False))), F.col("n")).otherwise(0)
     out = words.join(listed, "word", "left").groupBy("lang").agg(F.sum("n").alias("n_words"), F.sum(real).alias("n_real"))
@@ -100,7 +100,7 @@ def once(c: Column) -> Column:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, ref, system, hyp): every line at tier L1 and its readings. Lines spread over all cores before any distance is taken."""
     rows = table(spark, sf_dir, DOC).select("doc_id", "lang", F.posexplode(T.split_lines(F.col("text"))).alias("i", "line"))
-    rows = rows.repartition("doc_id", "i").select("doc_id", "lang", once(T.normalize(F.col("line"), "L1")).alias("ref")).where("ref <> ''")
+    rows = facts.spread(rows, "doc_id", "i").select("doc_id", "lang", once(T.normalize(F.col("line"), "L1")).alias("ref")).where("ref <> ''")
     return rows.select("doc_id", "lang", "ref", F.explode(readings(F.col("ref"))).alias("r")).select("doc_id", "lang", "ref", "r.*")
 
 
@@ -114,7 +114,7 @@ page AS (SELECT doc_id, lang, system, sum(length(ref)) AS n, sum({Q.char_edits('
 @query("char_rate_by_system", f"WITH {_LINES} SELECT lang, system, CAST(sum(n) AS BIGINT) AS n_ref_chars, CAST(sum(least(edits, n)) AS BIGINT) AS edits, CAST(sum(least(edits, n)) AS DOUBLE) / sum(n) AS cer FROM page GROUP BY ALL")
 def char_rate_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped character error rates: edits of lines add up to a page's, which can't lose more than all of it."""
-    pages = _lines(spark, sf_dir).groupBy("doc_id", "lang", "system").agg(F.sum(F.length("ref").cast("long")).alias("n"), F.sum(D.char_edits(F.col("ref"), F.col("hyp"))).alias("e"))
+    pages = _lines(spark, sf_dir).groupBy("doc_id", "lang", "system").agg(F.sum(F.length("ref").cast("long")).alias("n"), F.sum(align.char_edits(F.col("ref"), F.col("hyp"))).alias("e"))
     out = pages.groupBy("lang", "system").agg(F.sum("n").alias("n_ref_chars"), F.sum(R.capped(F.col("e"), F.col("n"))).alias("edits"))
     return out.withColumn("cer", R.ratio(F.col("edits"), F.col("n_ref_chars")))
 
@@ -158,7 +158,7 @@ g AS (SELECT lang, sum(r) AS n_ref, sum(least(r, h)) AS n_kept, sum(h) AS n_hyp
 SELECT lang, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_kept AS BIGINT) AS n_kept, CAST(n_hyp AS BIGINT) AS n_hyp, {Q.f1('n_kept', 'n_ref', 'n_hyp')} AS f1 FROM g""")
 def numeral_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numerals kept by a system that reads each 7 as a 1: a multiset overlap, by counts of tokens."""
-    base = table(spark, sf_dir, DOC).select("doc_id", "lang", T.normalize(F.col("text"), "L1").alias("ref"))
+    base = texts(spark, sf_dir, DOC).select("doc_id", "lang", T.normalize(F.col("text"), "L1").alias("ref"))
     sides = F.array(F.struct(F.lit(1).alias("r"), F.lit(0).alias("h"), T.numeral_tokens(F.col("ref")).alias("t")), F.struct(F.lit(0).alias("r"), F.lit(1).alias("h"), T.numeral_tokens(F.regexp_replace("ref", "7", "1")).alias("t")))
     rows = base.select("doc_id", "lang", F.explode(sides).alias("s")).select("doc_id", "lang", "s.r", "s.h", F.explode("s.t").alias("t"))
     counts = rows.groupBy("doc_id", "lang", "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
@@ -178,7 +178,7 @@ def align_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each turn against a reading with its lines in reverse order."""
     text = F.col("text")
-    rows = table(spark, sf_dir, "conversations").repartition("conv_id", "turn")
+    rows = facts.spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     rows = rows.select("conv_id", "turn", F.explode(align.match_lines(text, F.array_join(F.reverse(T.split_lines(F.lower(text))), "\n"))).alias("l"))
     return rows.select("conv_id", "turn", "l.line_idx", "l.kind", "l.hyp_idx", F.round("l.sim", 9).alias("sim"))
 
