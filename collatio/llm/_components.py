@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, drop
 
 #: Links to a task, about, and the compression of tables that are read once.
 LOT, PLAIN = 1 << 20, "uncompressed"
@@ -28,8 +28,11 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).coalesce(tasks), "links", PLAIN)
         large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks), "links", PLAIN)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), "links", PLAIN)
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks), "links", PLAIN)
+        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), "links", PLAIN)
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = cut(small.unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks), "links", PLAIN)
+        for done in (now, least, large, lower):
+            drop(links.sparkSession, done)
+        now = after
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

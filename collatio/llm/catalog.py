@@ -19,5 +19,7 @@ SQL = {
     "op1_substring_dedup": substring.SQL,
     "op4_embedding_near_dedup": embeddings.SQL,
     "op5_ngram_jaccard_join": jaccard.SQL,
+    "op7_url_filters": urls.SQL,
     "op8_warc": warc.SQL,
+    "op9_suffix_array_dedup": suffix.SQL,
 }

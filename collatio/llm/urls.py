@@ -102,4 +102,32 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUND
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every page's verdict."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+    """The same for DuckDB, each round a table of its own."""
+    fold = f"'{UPPER}', '{LOWER}'"
+    order = sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "block"), reverse=True)
+    test = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = " ".join(f"WHEN {test(h, p)} THEN '{h}{p}'" for _, h, p in order)
+    ruled = " ".join(f"WHEN {test(h, p)} THEN '{v}'" for v, h, p in order)
+    link = LINK.replace("'", "''")
+    steps = "".join(
+        f", r{k} AS MATERIALIZED (SELECT run, a, sum(s) AS s FROM (SELECT * FROM r0 UNION ALL SELECT r.run, b, s * share * {damping} FROM r{k - 1} r JOIN step ON r.run = step.run AND r.a = step.a) GROUP BY ALL)" for k in range(1, rounds + 1)
+    )
+    return f"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{PARTS}', 1), ''), {fold}) AS host, coalesce(regexp_extract(url, '{PARTS}', 2), '') AS path, html FROM pages),
+b AS (SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM p),
+c AS (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM b WHERE host <> '' GROUP BY host),
+t AS (SELECT greatest(1, sum(allowed)) AS allowed, greatest(1, sum(blocked)) AS blocked FROM c),
+edge AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {fold}) AS dst FROM p) WHERE src <> '' AND dst <> src GROUP BY ALL),
+way AS (SELECT 'trust' AS run, src AS a, dst AS b, n FROM edge UNION ALL SELECT 'distrust', dst, src, n FROM edge),
+step AS (SELECT run, a, b, n / CAST(sum(n) OVER (PARTITION BY run, a) AS DOUBLE) AS share FROM way),
+r0 AS (SELECT run, a, s * {1 - damping!r} AS s FROM (SELECT 'trust' AS run, host AS a, c.allowed / CAST(t.allowed AS DOUBLE) AS s FROM c, t UNION ALL SELECT 'distrust', host, c.blocked / CAST(t.blocked AS DOUBLE) FROM c, t) WHERE s > 0){steps},
+h AS (SELECT a AS host, sum(CASE WHEN run = 'trust' THEN s ELSE 0 END) AS trust, sum(CASE WHEN run = 'distrust' THEN s ELSE 0 END) AS distrust FROM r{rounds} GROUP BY a)
+SELECT page_id, b.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM b LEFT JOIN h ON b.host = h.host
+"""
+
+
+SQL = sql()
