@@ -69,12 +69,18 @@ class Tokens:
         for w in words:
             low = w.lower() if w.isascii() else w
             stem = low.rstrip(TAIL)
-            n = len(stem)
-            if n != len(w) and n and not (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode().lower()[-1].isalnum()) or b"<|" in w:
-                stem = w if b"<|" in w else low  # special tokens, and stems that end in a mark, stay whole
-                n = len(w)
+            if b"<|" in w:  # a special token may be in it: it stays whole
+                stem = low = w
+            elif len(stem) != len(low):
+                last = stem[-1:]
+                if last and not (last.isalnum() if last < b"\x80" else stem.decode().lower()[-1].isalnum()):
+                    stem = low  # so does a word whose stem ends in a mark
+                else:
+                    heads.append(stem)
+                    tails.append(low[len(stem) :])
+                    continue
             heads.append(stem)
-            tails.append(low[n:])
+            tails.append(b"")
         self._learn(list(set(heads).union(tails).difference(self.stems)))
         stems = self.stems
         self.words.update((w, stems[h] + stems[t] if t else stems[h]) for w, h, t in zip(words, heads, tails, strict=True))
