@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, squeeze: bool = True,
     left. Two different windows are taken for equal with probability 2**-64 a pair.
 
     Returns doc_id, n_words, n_removed, spans (array of [start, stop) word places, maximal), text (the kept words
-    joined by one space; without `squeeze` a text that loses nothing stays as it is) and row (a struct of all other input columns, so names can't clash).
+    joined by one space; without `squeeze` a text that loses nothing stays as it is, null or not) and row (a struct of all other input columns, so names can't clash).
     Null or empty texts have no words and come back empty. Texts of fewer than `window` words lose nothing. Rows with
     the same id don't count against each other: equal is not smaller; each comes back. Rows with a null id are
     neither compared nor changed, only their words are joined. An empty table gives an empty table.
@@ -82,12 +82,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, squeeze: bool = True,
             covered = np.cumsum(step[:-1]) > 0
         gone = np.concatenate([[0], np.cumsum(covered)])
         removed = gone[first[1:]] - gone[first[:-1]]
-        spans, kept = [], []
+        spans, kept, there = [], [], t["text"].is_valid().to_pylist()
         for i, text in enumerate(texts):
             own = text.split()
             if not removed[i]:
                 spans.append([])
-                kept.append(b" ".join(own) if squeeze else text)
+                kept.append(b" ".join(own) if squeeze else text if there[i] else None)
                 continue
             mask = covered[first[i] : first[i + 1]]
             edge = np.diff(mask.view(np.int8), prepend=0, append=0)

@@ -115,11 +115,13 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 3, epochs: int = 12
     A sentence's score is sigmoid(bias + sum of its features' weights); a document is toxic unless no sentence is:
     p = 1 - prod(1 - s). With label 0 every sentence is pushed down by s; with label 1 the push up,
     s * (1 - p) / p, goes to the sentences that already explain the label. Features seen in fewer than `least`
-    texts are left out; those much likelier in texts of label 1 start with a positive weight. Without texts of both labels the model is the share of label 1.
+    texts are left out; those much likelier in texts of label 1 start with a positive weight. Without texts of both labels the model is the share of
+    label 1, drawn towards a tenth by five more texts, so that one or two of them reject nothing.
     """
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(texts) or share in (0.0, 1.0):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 0.01) / (1.01 - share))))
+        share = (float(labels.sum()) + 0.5) / (len(labels) + 5)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     keys, counts, fresh = np.zeros(0, np.uint64), np.zeros((2, 0)), []
     for i, t in enumerate(texts):  # features are counted first and made again below: those of all texts would not fit
         own = np.unique(np.concatenate([rows.ravel() for _, rows in _features(H.join([t])[0])] or [keys[:0]]))

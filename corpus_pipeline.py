@@ -3,7 +3,9 @@
 toxicity: documents that the model rejects go. near duplicates: one document of each group stays, the one with the smallest
 id. repeated passages: words of windows that an earlier document has are cut out, and a document with no word left goes.
 benchmark leaks: documents that hold a test item go. packing: the rest, as token sequences.
-All but the last return the columns of `documents`; a text that nothing is cut from stays as it is, and n_chars is that of the text.
+All but the last return the columns of `documents`, and any others; a text that nothing is cut from stays as it is, null or empty too, and
+n_chars is that of the text. Rows with a null id are scored for toxicity like others, have no near copies, lose no words and hold no
+leak by name, so they stay; repeated rows stay or go together. An empty table goes through all stages empty.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ WORDS, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of a model of the labels that may be learnt from."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # so that a column named like the result stays what it is
+    return toxicity.score(rows, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that an earlier document has."""
     out = substring.remove_repeats(docs, squeeze=False).where("n_removed = 0 or n_removed < n_words")
     text = out.select("doc_id", "text", "row.*")
-    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return text.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

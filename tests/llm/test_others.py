@@ -151,9 +151,9 @@ def test_toxicity_scores_rows(spark):
     assert len(got) == len(texts) and all(0 <= r["score"] <= 1 for r in got)
     assert next(r for r in got if r["doc_id"] == 7 and len(r["text"]) > 1000)["score"] > 0.5
     assert toxicity.score(spark.createDataFrame([], "doc_id bigint, text string"), m).count() == 0
-    assert toxicity.fit([], np.zeros(0, int)).bias == 0 or True
-    only = toxicity.fit([b"a b"], np.array([1]))
-    assert toxicity.score_texts([b"q"], only, only.slots())[0][0] > 0.5
+    for n, y, low, high in ((0, 0, 0.05, 0.3), (1, 1, 0.05, 0.3), (60, 1, 0.9, 1), (60, 0, 0, 0.05)):
+        only = toxicity.fit([b"a b"] * n, np.full(n, y))
+        assert low < toxicity.score_texts([b"q"], only, only.slots())[0][0] < high
 
 
 def test_held_out_labels_are_not_seen(spark):
@@ -320,6 +320,24 @@ def test_shared_folder(spark):
         spark.read.parquet(_store.new_path(spark, "none")).count()
 
 
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline as P
+
+    good = "some plain words that are in no other text of this small table at all, nor in the benchmark"
+    rows = [(1, good, "en", "s", 9, 0.9, "r"), (2, None, None, None, None, None, None), (3, "", "de", "s", 0, 0.1, "x"), (None, good, "en", "s", 5, 0.2, "y"), (5, good, "en", "s", 7, 0.2, "y"), (5, good, "en", "s", 7, 0.2, "y")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES[:-1]:
+        docs = _store.cut(stage(spark, docs, DATA), name)
+        assert docs.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    got = sorted(map(tuple, docs.collect()), key=str)
+    assert got == sorted([(*r[:4], len(r[1]) if r[1] is not None else None, *r[5:]) for r in rows[:4]], key=str)
+    assert {(r["doc_id"], r["length"]) for r in P.pack(spark, docs, DATA).collect()} >= {(2, 1), (3, 1)}
+    none = spark.createDataFrame([], schema)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, DATA).count() == 0
+
+
 def test_pipeline(spark):
     """Each stage on what its predecessor kept, against the plain forms of the operators."""
     import corpus_pipeline as P
