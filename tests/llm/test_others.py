@@ -257,6 +257,34 @@ def test_propagation(spark):
         assert abs(a - t[i]) < 1e-9 and abs(b - d[i]) < 1e-9
 
 
+def test_propagation_settles(spark):
+    """A chain of 14 links to the seed of distrust, a cycle on it and a seed of trust, against a linear solve."""
+    hosts = [f"h{i:02}" for i in range(16)]
+    weights = np.zeros((16, 16))
+    for i in range(14):
+        weights[i, i + 1] = 1 + i % 3
+    weights[6, 5], weights[15, 3], weights[15, 9] = 2, 1, 4
+    edges = spark.createDataFrame([(hosts[i], hosts[j], int(weights[i, j])) for i, j in zip(*np.nonzero(weights))], "src string, dst string, n bigint")
+    t0, d0 = np.eye(16)[15], np.eye(16)[14]
+    seeds = spark.createDataFrame([(hosts[i], float(t0[i]), float(d0[i])) for i in range(16)], "host string, trust double, distrust double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(edges, seeds).collect()}
+
+    def solve(w, s):
+        out = w.sum(1, keepdims=True)
+        share = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
+        return np.linalg.solve(np.eye(16) - 0.85 * share.T, 0.15 * s)
+
+    t, d = solve(weights, t0), solve(weights.T, d0)
+    assert d[0] > 0 and t[0] == 0
+    for i, h in enumerate(hosts):
+        assert abs(got[h][0] - t[i]) <= 1e-7 * t[i] and abs(got[h][1] - d[i]) <= 1e-7 * d[i]
+
+
+def test_long_way_to_a_blocked_seed(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">', "") for i in range(12)] + [(12, "http://h12.net/", '<a href="http://spam.com/de/">', ""), (13, "http://spam.com/de/", "", "")]
+    assert {r["verdict"] for r in urls.judge(spark.createDataFrame(rows, PAGES)).collect()} == {"block"}
+
+
 def test_links_decide(spark):
     def page(i, url, *to):
         return (i, url, "".join(f'<p><A class="x" HREF="{t}">t</a>' for t in to), "")
