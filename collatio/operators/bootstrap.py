@@ -8,32 +8,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESAMPLES, ALPHA = 1000, 0.05
+#: Draws that are held at once.
+DRAWS = 1 << 21
 
 
 def interval(facts: DataFrame, keys: list[str], num: str, den: str, order: str, n: int = RESAMPLES, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
-    """(.., rate, lo, hi) over the rows of each group, resampled n times as a whole by a seeded generator.
+    """(.., rate, lo, hi) over the rows of each group, resampled n times as a whole by a seeded generator: `intervals` of one ratio."""
+    out = intervals(facts, keys, {"rate": (num, den)}, order, n, seed, alpha)
+    return out.select(*keys, "rate", F.col("rate_lo").alias("lo"), F.col("rate_hi").alias("hi"))
+
+
+def intervals(facts: DataFrame, keys: list[str], ratios: dict[str, tuple[str, str]], order: str, n: int = RESAMPLES, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
+    """(.., name, name_lo, name_hi for each ratio) over the rows of each group, all ratios by the same draws.
 
     The draws depend on the number and order of the rows, so they are sorted by `order`; a resample without a
     denominator is left out. Fewer than two rows give the rate thrice, no denominator three nulls. A group is a system's pages, which fit
-    a task; for groups of any size use `poisson`.
+    a task; for groups of any size use `poisson`. Resamples are drawn some at a time, which gives the same draws as all at once.
     """
+    columns = [f"{name}{side}" for name in ratios for side in ("", "_lo", "_hi")]
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        x, y = rows[num].to_numpy(float), rows[den].to_numpy(float)
-        head = [rows[k].iloc[0] for k in keys]
-        if y.sum() <= 0:
-            got = [None] * 3
-        elif len(x) < 2:
-            got = [x.sum() / y.sum()] * 3
-        else:
-            drawn = np.random.default_rng(seed).integers(0, len(x), (n, len(x)))
-            below = y[drawn].sum(axis=1)
-            rates = x[drawn].sum(axis=1)[below != 0] / below[below != 0]
-            got = [x.sum() / y.sum(), *np.percentile(rates, [100 * alpha / 2, 100 * (1 - alpha / 2)])]
-        return pd.DataFrame([[*head, *got]], columns=[*keys, "rate", "lo", "hi"])
+        sides = [rows[c].to_numpy(float) for pair in ratios.values() for c in pair]
+        size, rng = len(rows), np.random.default_rng(seed)
+        sums = np.zeros((len(sides), n))
+        step = max(1, DRAWS // size)
+        for a in range(0, n if size > 1 else 0, step):
+            drawn = rng.integers(0, size, (min(step, n - a), size))
+            for total, v in zip(sums, sides, strict=True):
+                total[a : a + step] = v[drawn].sum(axis=1)
+        got = []
+        for i in range(0, len(sides), 2):
+            x, y = sides[i].sum(), sides[i + 1].sum()
+            if y <= 0:
+                got += [None] * 3
+            elif size < 2:
+                got += [x / y] * 3
+            else:
+                some = sums[i + 1] != 0
+                got += [x / y, *np.percentile(sums[i][some] / sums[i + 1][some], [100 * alpha / 2, 100 * (1 - alpha / 2)])]
+        return pd.DataFrame([[*(rows[k].iloc[0] for k in keys), *got]], columns=[*keys, *columns])
 
     types = dict(facts.dtypes)
-    return facts.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rate double, lo double, hi double"]))
+    return facts.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{c}` double" for c in columns)]))
 
 
 def poisson(facts: DataFrame, keys: list[str], num: str, den: str, row: str, n: int = RESAMPLES, alpha: float = ALPHA, parts: int = 64) -> DataFrame:

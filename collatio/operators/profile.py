@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as C
 from ..functions import rates as R
 from ..functions import text as T
+from . import bootstrap
 
 
 def micro_rate(num: str | Column, den: str | Column) -> Column:
@@ -15,18 +16,50 @@ def micro_rate(num: str | Column, den: str | Column) -> Column:
     return R.ratio(F.sum(num), F.sum(den))
 
 
-def text_scores(facts: DataFrame, grains: list[list[str]]) -> DataFrame:
-    """Accuracies, fidelity and numerals at each grain, by grouping sets over one scan: columns not in a grain are null."""
-    rows = facts.withColumns({
+def _capped(facts: DataFrame) -> DataFrame:
+    return facts.withColumns({
         "char_edits": R.capped(F.col("ins") + F.col("dele") + F.col("sub"), F.col("n_ref_chars")), "words_lost": R.capped(F.col("word_edits"), F.col("n_ref_words")),
     })
+
+
+def text_scores(facts: DataFrame, grains: list[list[str]], order: str = "page_id", n: int = bootstrap.RESAMPLES) -> DataFrame:
+    """The rates at each grain, with bootstrap intervals of the character and word error rates; a group's pages are resampled in `order`."""
+    dims, c = list(dict.fromkeys(d for g in grains for d in g)), F.col
+    names = ["cer_page_lo", "cer_page_hi", "wer_page_lo", "wer_page_hi"]
+    rows, types = _capped(facts), dict(facts.dtypes)
+    bands = None
+    for g in grains:
+        band = bootstrap.intervals(rows.select(*g, order, "char_edits", "n_ref_chars", "words_lost", "n_ref_words"), g, {"cer_page": ("char_edits", "n_ref_chars"), "wer_page": ("words_lost", "n_ref_words")}, order, n)
+        own = band.select(*((c(d) if d in g else F.lit(None).cast(types[d])).alias(f"b_{d}") for d in dims), F.lit(_grain(dims, g)).alias("b_grain"), *names)
+        bands = own if bands is None else bands.unionByName(own)
+    out = _rates(rows, grains).alias("r")
+    same = c("grain") == c("b_grain")
+    for d in dims:
+        same &= c(d).eqNullSafe(c(f"b_{d}"))
+    shown = out.drop("grain").columns
+    at = shown.index("wer_page")
+    return out.join(bands, same, "left").select(*shown[:at], *names[:2], "wer_page", *names[2:], *shown[at + 1 :])
+
+
+def text_rates(facts: DataFrame, grains: list[list[str]]) -> DataFrame:
+    """Accuracies, fidelity and numerals at each grain, without intervals."""
+    return _rates(_capped(facts), grains).drop("grain")
+
+
+def _grain(dims: list[str], g: list[str]) -> int:
+    """What grouping_id() gives for a grain."""
+    return sum(1 << i for i, d in enumerate(reversed(dims)) if d not in g)
+
+
+def _rates(rows: DataFrame, grains: list[list[str]]) -> DataFrame:
+    """The rates and their grain's grouping_id, by grouping sets over one scan: columns not in a grain are null."""
     dims = list(dict.fromkeys(d for g in grains for d in g))
     dip = F.col("corpus").isin(*C.DIPLOMATIC)
     sums = {c: F.sum(c) for c in ("char_edits", "n_ref_chars", "words_lost", "n_ref_words", "punct_kept", "n_punct_ref", "caps_lowered", "n_caps_read", "num_kept", "n_num_ref", "n_num_hyp", "n_lines_matched", "n_lines_ref", "real_word_sub", "n_sub_words")}
     sums |= {f"d_{c}": F.sum(F.when(dip, F.col(c)).otherwise(0)) for c in ("glyph_kept", "n_glyph_ref", "n_glyph_hyp")}
     renamed = rows.withColumns({f"g_{d}": F.col(d) for d in dims})
     out = renamed.groupingSets([[F.col(f"g_{d}") for d in g] for g in grains], *(F.col(f"g_{d}") for d in dims)).agg(
-        F.count("*").alias("n_pages"), F.sum(F.col("error").cast("long")).alias("n_failed"), *(v.alias(k) for k, v in sums.items())
+        F.grouping_id().cast("int").alias("grain"), F.count("*").alias("n_pages"), F.sum(F.col("error").cast("long")).alias("n_failed"), *(v.alias(k) for k, v in sums.items())
     )
     c = F.col
     out = out.withColumns({
@@ -38,7 +71,7 @@ def text_scores(facts: DataFrame, grains: list[list[str]]) -> DataFrame:
     })
     return out.select(
         *(c(f"g_{d}").alias(d) for d in dims), "n_pages", "n_failed", (1 - c("cer_page")).alias("char_accuracy"), (1 - c("wer_page")).alias("word_accuracy"),
-        R.mean_present(c("glyph_f1"), c("punct_kept_share"), c("caps_kept")).alias("fidelity"), "cer_page", "wer_page", "glyph_f1", c("punct_kept_share").alias("punct_kept"), "caps_kept", "numeral_f1", "line_recall", "real_word_share",
+        R.mean_present(c("glyph_f1"), c("punct_kept_share"), c("caps_kept")).alias("fidelity"), "cer_page", "wer_page", "glyph_f1", c("punct_kept_share").alias("punct_kept"), "caps_kept", "numeral_f1", "line_recall", "real_word_share", "grain",
     )
 
 

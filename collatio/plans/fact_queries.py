@@ -199,13 +199,27 @@ r AS (SELECT *, {Q.ratio('ce', 'nc')} AS cer_page, {Q.ratio('we', 'nw')} AS wer_
 SELECT system, corpus, n_pages, CAST(n_failed AS BIGINT) AS n_failed, 1 - cer_page AS char_accuracy, 1 - wer_page AS word_accuracy, (coalesce(glyph_f1, 0) + coalesce(punct_kept, 0) + coalesce(caps_kept, 0)) / (CAST(glyph_f1 IS NOT NULL AS INTEGER) + CAST(punct_kept IS NOT NULL AS INTEGER) + CAST(caps_kept IS NOT NULL AS INTEGER)) AS fidelity,
 cer_page, wer_page, glyph_f1, punct_kept, caps_kept, numeral_f1, line_recall, real_word_share FROM r""")
 def profile_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of a system, and of a system and corpus, from one scan."""
+    """The rates of a system, and of a system and corpus, from one scan; `profile_intervals` has the bootstrap intervals too, which SQL can't repeat."""
+    return profile.text_rates(_line_facts(spark, sf_dir), [["system"], ["system", "corpus"]])
+
+
+def _line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(v).cast("long").alias(k) for k, v in _FACTS.items()]
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("system"), F.when(F.col("l_linestatus") == "F", "abp").otherwise("other").alias("corpus"), (F.col("l_discount") > 0.08).alias("error"), *counts)
-    return profile.text_scores(rows, [["system"], ["system", "corpus"]])
+    page = (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("page_id")
+    return table(spark, sf_dir, "lineitem").select(page, F.col("l_returnflag").alias("system"), F.when(F.col("l_linestatus") == "F", "abp").otherwise("other").alias("corpus"), (F.col("l_discount") > 0.08).alias("error"), *counts)
+
+
+@query("profile_intervals")
+def profile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table whole, with intervals of 1000 resamples."""
+    return profile.text_scores(_line_facts(spark, sf_dir), [["system"], ["system", "corpus"]])
 
 
-query("profile_of_turns")(lambda spark, sf_dir: profile.text_scores(scored(spark, sf_dir), [["system_id"], ["system_id", "corpus"]]))
+@query("profile_of_turns")
+def profile_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table of each system, and of each system and corpus; pages are scored once, for the rates and the intervals of both grains."""
+    scored(spark, sf_dir).write.parquet(path := f"{_scratch(spark)}/scores")
+    return profile.text_scores(spark.read.parquet(path), [["system_id"], ["system_id", "corpus"]])
 
 
 @query("corpora_table", f"""SELECT source AS corpus, count(*) AS n_pages, CAST(sum(n_chars) AS BIGINT) AS n_lines, CAST(sum(len({Q.split_lines('text')})) AS BIGINT) AS n_lines_scored, CAST(sum(len({Q.tokens('text')})) AS BIGINT) AS n_words, count(*) FILTER (toxic = 1) AS n_judge_sample_pages

@@ -85,6 +85,35 @@ def test_score_and_profile(spark):
     assert abs(whole["cer_page"] - n2 / (n1 + n2)) < 1e-12 and whole["n_pages"] == 2
 
 
+def test_profile_intervals(spark):
+    """At both grains the intervals of 1000 resamples of capped edits, drawn all at once here."""
+    rng = np.random.default_rng(5)
+    zeros = {k: 0 for k in ("punct_kept", "n_punct_ref", "caps_lowered", "n_caps_read", "num_kept", "n_num_ref", "n_num_hyp", "n_lines_matched", "n_lines_ref", "real_word_sub", "n_sub_words", "glyph_kept", "n_glyph_ref", "n_glyph_hyp")}
+    pages = [{"page_id": i, "system": "st"[i % 2], "corpus": ("abp", "forst", None)[i % 3], "error": False, "ins": int(rng.integers(0, 9)), "dele": int(rng.integers(0, 90)), "sub": 1, "n_ref_chars": int(rng.integers(0, 60)), "word_edits": int(rng.integers(0, 12)), "n_ref_words": 9} | zeros for i in range(83)]
+    pages += [pages[0] | {"page_id": 83, "system": "one", "n_ref_chars": 40, "dele": 10}]
+    facts_of = spark.createDataFrame(pages, ", ".join(f"{k} {'string' if k in ('system', 'corpus') else 'boolean' if k == 'error' else 'bigint'}" for k in pages[0])).repartition(3)
+    got = profile.text_scores(facts_of, [["system"], ["system", "corpus"]]).collect()
+    assert len(got) == 8 + 2
+    for r in got:
+        same = [p for p in pages if p["system"] == r["system"] and p["corpus"] == r["corpus"]]
+        own = [p for p in pages if p["system"] == r["system"]] if r["n_pages"] != len(same) else same
+        assert r["n_pages"] == len(own)
+        for name, x, y in (("cer", [min(p["ins"] + p["dele"] + p["sub"], p["n_ref_chars"]) for p in own], [p["n_ref_chars"] for p in own]), ("wer", [min(p["word_edits"], 9) for p in own], [9] * len(own))):
+            x, y = np.array(x, float), np.array(y, float)
+            idx = np.random.default_rng(0).integers(0, len(x), (1000, len(x)))
+            want = np.percentile(x[idx].sum(1) / y[idx].sum(1), [2.5, 97.5])
+            assert np.allclose([r[f"{name}_page_lo"], r[f"{name}_page_hi"]], want, atol=1e-12) and abs(r[f"{name}_page"] - x.sum() / y.sum()) < 1e-12
+
+
+def test_draws_some_at_a_time(spark):
+    """A group too large to be drawn at once has the same draws."""
+    n = 3001
+    assert n * bootstrap.RESAMPLES > bootstrap.DRAWS
+    got = bootstrap.interval(spark.range(n).selectExpr("'s' as system", "id", "cast(id % 7 as double) as num", "3.0D + id % 4 as den"), ["system"], "num", "den", "id").first()
+    x, y, idx = np.arange(n) % 7.0, 3.0 + np.arange(n) % 4, np.random.default_rng(0).integers(0, n, (1000, n))
+    assert np.allclose([got["lo"], got["hi"]], np.percentile(x[idx].sum(1) / y[idx].sum(1), [2.5, 97.5]), atol=1e-12)
+
+
 def test_kappa(spark):
     def k(a, b):
         df = spark.createDataFrame(list(zip(a, b, strict=True)), "a string, b string")
