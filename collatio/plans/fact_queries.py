@@ -260,13 +260,24 @@ d AS (SELECT system, rep, (rep * 7919 + i * 104729 + rep * i) % n AS i FROM p, (
 r AS (SELECT d.system, rep, sum(num) / nullif(sum(den), 0) AS rate FROM d JOIN p ON d.system = p.system AND d.i = p.i GROUP BY ALL)
 SELECT system, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi FROM r GROUP BY system""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("system"), "l_orderkey").agg(F.sum(F.col("l_quantity") * F.col("l_discount")).alias("num"), F.sum("l_quantity").alias("den"))
-    return bootstrap.indexed(pages, ["system"], "num", "den", "l_orderkey", 40)
+    """A sketch of 40 resamples, by draws that its SQL repeats; `bootstrap_interval` has the operator's 1000."""
+    return bootstrap.indexed(_order_pages(spark, sf_dir, "system"), ["system"], "num", "den", "l_orderkey", 40)
+
+
+def _order_pages(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
+    """Each system's share of an order as a page."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias(system), "l_orderkey").agg(F.sum(F.col("l_quantity") * F.col("l_discount")).alias("num"), F.sum("l_quantity").alias("den"))
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.interval(_order_pages(spark, sf_dir, "system"), ["system"], "num", "den", "l_orderkey")
 
 
 @query("bootstrap_poisson")
 def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.poisson(table(spark, sf_dir, "lineitem").withColumn("num", F.col("l_quantity") * F.col("l_discount")), ["l_returnflag"], "num", "l_quantity", "l_orderkey", n=100)
+    """Lines of an order are drawn together, so they are summed before they are resampled."""
+    return bootstrap.poisson(_order_pages(spark, sf_dir, "l_returnflag"), ["l_returnflag"], "num", "den", "l_orderkey")
 
 
 # ---------------------------------------------------------------------------------------------- verdicts

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from collatio import schema as C
 from collatio.functions import rates as R
 from collatio.operators import bootstrap, facts, judging, profile, runners
+from collatio.plans.catalog import QUERIES
 from collatio.sources import archives, bundles, pagexml, records
 
 
@@ -85,6 +86,24 @@ def test_score_and_profile(spark):
     assert abs(whole["cer_page"] - n2 / (n1 + n2)) < 1e-12 and whole["n_pages"] == 2
 
 
+def test_registered_bootstraps(spark, tmp_path):
+    """The queries draw 1000 resamples: brute force on a small table."""
+    rows = [(i // 3, "AN"[i % 2], float(1 + i * 7 % 11), (i * 5 % 9) / 100) for i in range(150)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_returnflag string, l_quantity double, l_discount double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["system"]: r for r in QUERIES["bootstrap_interval"](spark, str(tmp_path)).collect()}
+    loose = {r["l_returnflag"]: r for r in QUERIES["bootstrap_poisson"](spark, str(tmp_path)).collect()}
+    hashes = {(r[0], r[1]): r[2] for r in spark.range(50).crossJoin(spark.range(1000).selectExpr("cast(id as int) as rep")).selectExpr("id", "rep", "pmod(xxhash64(id, rep), 9007199254740992) / 9007199254740992D").collect()}
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(10)])
+    for s in "AN":
+        pages = sorted({r[0] for r in rows if r[1] == s})
+        x, y = (np.array([sum(f(r) for r in rows if r[0] == p and r[1] == s) for p in pages]) for f in (lambda r: r[2] * r[3], lambda r: r[2]))
+        idx = np.random.default_rng(0).integers(0, len(x), (1000, len(x)))
+        assert np.allclose([got[s]["rate"], got[s]["lo"], got[s]["hi"]], [x.sum() / y.sum(), *np.percentile(x[idx].sum(1) / y[idx].sum(1), [2.5, 97.5])], atol=1e-12)
+        times = np.array([[np.sum(hashes[p, k] >= steps) for p in pages] for k in range(1000)])
+        assert np.allclose([loose[s]["lo"], loose[s]["hi"]], np.percentile((times @ x) / (times @ y), [2.5, 97.5]), atol=1e-9)
+
+
 def test_profile_intervals(spark):
     """At both grains the intervals of 1000 resamples of capped edits, drawn all at once here."""
     rng = np.random.default_rng(5)
