@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as C
+from ..functions import align
 from ..functions import rates as R
 from ..functions import text as T
+from . import facts
 
 REPLY = "struct<spans:array<struct<ref_span:string,hyp_span:string,type:string,severity:string>>,verdict:string,note:string>"
 
@@ -71,6 +73,22 @@ def table(judged: DataFrame) -> DataFrame:
     return out.select("system_id", "n_lines", "n_ref_words", *rates, *(f"share_{v}" for v in C.VERDICTS), "share_misleading_both_passes", "kappa_verdict")
 
 
+def candidates(pages: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Lines that may be shown to a reviewer: system_id, corpus, page_id, line_idx, ref, hyp, context_before, context_after.
+
+    pages: page_id, corpus, gt_text, judge_sample. predictions: run_id, system_id, page_id, text, error, one a run and page. Of flagged
+    pages that a system's first run answered, the lines that aren't missing, have three words or more and differ in a word, at tier L1.
+    """
+    answered = predictions.where(F.endswith("run_id", F.lit("__r0")) & (F.coalesce("error", F.lit("")) == "") & (F.coalesce("text", F.lit("")) != ""))
+    both = answered.join(pages.where("judge_sample").select("page_id", "corpus", "gt_text"), "page_id")
+    rows = facts.spread(both, "run_id", "page_id").select("system_id", "corpus", "page_id", align.match_lines(F.col("gt_text"), F.col("text")).alias("lines"))
+    near = lambda i: F.coalesce(F.get("lines", i)["ref"], F.lit(""))
+    own = F.transform("lines", lambda x, i: F.struct(x["line_idx"].alias("line_idx"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["hyp"].alias("hyp"), near(i - 1).alias("context_before"), near(i + 1).alias("context_after")))
+    rows = rows.select("system_id", "corpus", "page_id", F.explode(own).alias("l")).select("system_id", "corpus", "page_id", "l.*").where("kind <> 'missing'")
+    a, b = (T.tokens(T.normalize(F.col(c), "L1")) for c in ("ref", "hyp"))
+    return rows.where((F.size(a) >= 3) & (a != b)).drop("kind")
+
+
 def sample(candidates: DataFrame, corpus: str, system: str, line: list[str], per_system: int, order: Column) -> DataFrame:
     """Each system's first lines in one shared order: in every corpus lines of more systems first, then by `order`; corpora in turn.
 

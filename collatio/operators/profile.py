@@ -79,6 +79,28 @@ def integrity(misleading: Column, numeral_f1: Column) -> Column:
     return R.mean_present(1 - misleading, numeral_f1)
 
 
+def with_integrity(scores: DataFrame, misleading: DataFrame, system: str = "system_id", corpus: str = "corpus") -> DataFrame:
+    """Scores with `integrity`. misleading: (system, misleading). The sample is too small to split, so a corpus's row rests on its numerals alone."""
+    rows = scores.join(misleading.select(system, "misleading"), system, "left")
+    return rows.withColumn("integrity", F.when(F.col(corpus).isNull(), integrity(F.col("misleading"), F.col("numeral_f1"))).otherwise(F.col("numeral_f1"))).drop("misleading")
+
+
+def full_coverage(scores: DataFrame, corpora: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """The scores whose n_pages is all that their corpus has."""
+    return scores.join(corpora.select(corpus, "n_pages"), [corpus, "n_pages"], "left_semi")
+
+
+def years(pages: DataFrame, corpus: str = "corpus", year: str = "year") -> DataFrame:
+    """The first and last year of each corpus that has a dated page; 0 is no date."""
+    return pages.where(F.col(year) != 0).groupBy(corpus).agg(F.min(year).alias("first"), F.max(year).alias("last"))
+
+
+def check_years(claims: DataFrame, found: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """Printed ranges (corpus, from, to) against `years`: ok if all dated pages lie inside; a corpus without dates is."""
+    rows = claims.join(found, corpus, "left")
+    return rows.withColumn("ok", F.coalesce((F.col("from") <= F.col("first")) & (F.col("last") <= F.col("to")), F.lit(True)))
+
+
 def corpora(pages: DataFrame, corpus: str = "corpus", text: str = "gt_text", n_lines: str = "n_lines_gt", sampled: str = "judge_sample") -> DataFrame:
     """Pages, lines, lines that are scored, words and sampled pages of each corpus."""
     return pages.groupBy(corpus).agg(

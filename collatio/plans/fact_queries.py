@@ -14,7 +14,7 @@ from ..sources import pagexml
 from ..streaming import log as stream
 from . import sql as Q
 from .catalog import query, table
-from .text_queries import scored
+from .text_queries import readings, scored
 
 def _error():
     return F.col("event_type") == "error"
@@ -351,6 +351,46 @@ def sample_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.sample(rows, "corpus", "system", ["page", "line"], 100, (c("page") * 7919 + c("line") * 104729) % 10007).select("system", "corpus", "page", "line", "place")
 
 
+@query("judge_candidates")
+def judge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages, their roles as corpora; the turns of every eighth conversation are flagged."""
+    turns = table(spark, sf_dir, "conversations").select(F.format_string("%d-%d", "conv_id", "turn").alias("page_id"), F.col("role").alias("corpus"), F.col("text").alias("gt_text"), (F.col("conv_id") % 8 == 0).alias("judge_sample"))
+    said = turns.where("judge_sample").select("page_id", F.explode(readings(F.col("gt_text"))).alias("r"))
+    return judging.candidates(turns, said.select(F.concat("r.system", F.lit("__r0")).alias("run_id"), "r.system", "page_id", F.col("r.hyp").alias("text"), F.lit(None).cast("string").alias("error")).withColumnRenamed("system", "system_id"))
+
+
+@query("sample_of_candidates")
+def sample_of_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred lines of each system that pass the reviewers' filter."""
+    judge_candidates(spark, sf_dir).write.parquet(path := f"{_scratch(spark)}/candidates")
+    rows = judging.sample(spark.read.parquet(path), "corpus", "system_id", ["page_id", "line_idx"], 100, F.xxhash64("page_id", "line_idx"))
+    return rows.select("system_id", "corpus", "page_id", "line_idx", "ref", "hyp", "context_before", "context_after", "place")
+
+
+@query("integrity")
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of `profile_grouping_sets` with integrity; every third line number is a misleading verdict."""
+    misleading = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("system")).agg(F.avg((F.col("l_linenumber") % 3 == 1).cast("double")).alias("misleading"))
+    scores = profile.text_rates(_line_facts(spark, sf_dir), [["system"], ["system", "corpus"]])
+    return profile.with_integrity(scores, misleading, "system").select("system", "corpus", "numeral_f1", "integrity")
+
+
+@query("full_coverage")
+def full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of events that all users of a corpus have."""
+    pages = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("corpus"), F.col("event_type").alias("system_id"), "user_id")
+    corpora = pages.groupBy("corpus").agg(F.count_distinct("user_id").alias("n_pages"))
+    return profile.full_coverage(pages.groupBy("corpus", "system_id").agg(F.count_distinct("user_id").alias("n_pages")), corpora)
+
+
+@query("corpus_years")
+def corpus_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages, their priority as the corpus, against a printed range."""
+    found = profile.years(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("corpus"), F.year("o_orderdate").alias("year")))
+    claims = found.select("corpus", F.lit(1992).alias("from"), F.lit(1998).alias("to"))
+    return profile.check_years(claims, found)
+
+
 @query("judge_prompts", """SELECT conv_id, turn, 'Ref: ' || text || ' {json} before ' || CASE WHEN b = '' THEN '(start of page)' ELSE b END || ' after ' || CASE WHEN a = '' THEN '(end of page)' ELSE a END AS prompt
 FROM (SELECT conv_id, turn, text, lag(text, 1, '') OVER w AS b, lead(text, 1, '') OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

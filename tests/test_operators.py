@@ -163,6 +163,27 @@ def test_sample(spark):
     assert picked["x"] == picked["y"] == ["a0", "b0", "a1", "b1"]
 
 
+def test_candidates(spark):
+    gt = "one two three\nab cd\nfour five six\nnothing like it was here\nseven eight nine"
+    pages = spark.createDataFrame([("p", "c", gt, True), ("q", "c", gt, False), ("r", "c", gt, True)], "page_id string, corpus string, gt_text string, judge_sample boolean")
+    said = "one two tree\nab xd\nfour five six\nseven eight nina"
+    runs = [("s__r0", "s", "p", said, None), ("s__r0", "s", "q", said, None), ("s__r0", "s", "r", "", None), ("t__r0", "t", "p", said, "down"), ("t__r1", "t", "r", said, None), ("u__r0", "u", "r", said, "")]
+    got = judging.candidates(pages, spark.createDataFrame(runs, "run_id string, system_id string, page_id string, text string, error string")).collect()
+    lines = [(0, "one two three", "one two tree", "", "ab cd"), (4, "seven eight nine", "seven eight nina", "nothing like it was here", "")]
+    assert sorted(map(tuple, got)) == [("s", "c", "p", *x) for x in lines] + [("u", "c", "r", *x) for x in lines]
+
+
+def test_integrity_coverage_years(spark):
+    scores = spark.createDataFrame([("s", None, 0.5, 9), ("s", "a", 0.25, 4), ("t", None, 0.75, 5), ("t", "a", 0.5, 3)], "system_id string, corpus string, numeral_f1 double, n_pages bigint")
+    got = profile.with_integrity(scores, spark.createDataFrame([("s", 0.1)], "system_id string, misleading double")).collect()
+    assert {(r["system_id"], r["corpus"]): round(r["integrity"], 9) for r in got} == {("s", None): 0.7, ("s", "a"): 0.25, ("t", None): 0.75, ("t", "a"): 0.5}
+    assert [tuple(r)[:2] for r in profile.full_coverage(scores, spark.createDataFrame([("a", 4)], "corpus string, n_pages bigint")).select("system_id", "corpus").collect()] == [("s", "a")]
+    found = profile.years(spark.createDataFrame([("a", 1801), ("a", 1850), ("a", 0), ("a", None), ("b", None), ("c", 1700)], "corpus string, year int"))
+    assert sorted(map(tuple, found.collect())) == [("a", 1801, 1850), ("c", 1700, 1700)]
+    claims = spark.createDataFrame([("a", 1801, 1850), ("b", 1, 2), ("c", 1701, 1800)], "corpus string, from int, to int")
+    assert {r["corpus"]: r["ok"] for r in profile.check_years(claims, found).collect()} == {"a": True, "b": True, "c": False}
+
+
 def test_bootstrap(spark):
     rows = [("s", i, float(i % 3), 5.0) for i in range(40)] + [("one", 0, 1.0, 4.0), ("none", 0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "system string, page int, num double, den double")
