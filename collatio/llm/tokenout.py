@@ -68,8 +68,12 @@ def sequences(docs: DataFrame, tokenizer_path: str | None = None, length: int =
     """Every document's ids, ended by end_id, in records of at most `length`: (part, first, count, block), many records a block.
 
     part and first number a block's records: first counts within the part, and a part is a task. A null text is an empty one.
+    An id that doesn't fit the records is an error.
     """
     path, end, kind = tokenizer_path or default_path(), end_id.to_bytes(4, "little"), record_type(length, wide)
+    most = np.iinfo(kind["ids"].base).max
+    if end_id > most:
+        raise ValueError(f"end id {end_id} does not fit records of ids up to {most}; use wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, first = tokens(path), TaskContext.get().partitionId(), 0
@@ -83,6 +87,8 @@ def sequences(docs: DataFrame, tokenizer_path: str | None = None, length: int =
                 out = np.zeros(sum(pieces), kind)
                 at = 0
                 for doc, x, n in zip(b.column("doc_id").to_pylist(), got, pieces, strict=True):
+                    if (top := int(x.max())) > most:
+                        raise ValueError(f"id {top} does not fit records of ids up to {most}; use wide")
                     own = out[at : at + n]
                     own["doc_id"] = NONE if doc is None else doc
                     own["piece"] = np.arange(n)
@@ -114,7 +120,7 @@ def materialise(docs: DataFrame, key: int, folder: str | None = None, tokenizer_
     names those of the successful ones, so a lost executor costs its tasks only. The same blocks and key give the same order.
 
     Null texts are empty and have the end id alone; repeated rows and null ids are sequences like others. An empty table writes nothing.
-    ids are 16 bits wide unless `wide`.
+    ids are 16 bits wide unless `wide`; a larger one fails the task.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "op10-shards")

@@ -84,6 +84,23 @@ def test_permutation(n, key):
     assert np.array_equal(np.sort(slots), np.arange(n)) and np.array_equal(f.number(slots), np.arange(n))
 
 
+def test_ids_that_do_not_fit(spark, monkeypatch):
+    """An id of more than 16 bits is an error in narrow records, and comes back whole from wide ones."""
+    class Large:
+        def encode(self, texts):
+            return [np.array([7, 65_535 + len(x)], "<u4").tobytes() for x in texts]
+
+    monkeypatch.setattr(tokenout, "tokens", lambda path: Large())
+    docs = spark.createDataFrame([(1, ""), (2, "a")], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="id 65536 does not fit"):
+        tokenout.materialise(docs, 3, length=4)
+    with pytest.raises(ValueError, match="end id 70000 does not fit"):
+        tokenout.materialise(docs, 3, length=4, end_id=70_000)
+    wide = tokenout.read(tokenout.materialise(docs, 3, length=4, end_id=70_000, wide=True), 4, wide=True).collect()
+    assert sorted(r["ids"] for r in wide) == [[7, 65_535, 70_000], [7, 65_536, 70_000]]
+    assert tokenout.read(tokenout.materialise(docs.where("doc_id = 1"), 3, length=4), 4).first()["ids"] == [7, 65_535, 0]
+
+
 def test_token_output(spark, tmp_path):
     rows = X.documents()
     docs = X.frame(spark, rows).repartition(3)
