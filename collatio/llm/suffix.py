@@ -1,11 +1,13 @@
-"""Suffix-array dedup: the suffixes are sorted a bucket at a time, after a difference-cover sample has told which can repeat.
+"""Repeats of LENGTH bytes by fingerprints, after a difference-cover sample has told which suffixes can repeat.
+
+No suffix array is built: suffixes are never put in lexicographic order, and samples get no ranks. Hashes stand in for both throughout.
 
 Two equal strings of LENGTH bytes, at i and j, have an offset k < PERIOD at which both i + k and j + k lie in the cover
 sample (counted from the start of each document), whatever i and j are. So the bytes sampled there
 repeat among the samples, and a suffix without a repeated sample among its first PERIOD places has no equal. The
-samples, 8 in 57 places, are sorted and named first, in buckets.
+samples, 8 in 57 places, are hashed first; their distinct hashes are compared in buckets, and the answer is a bit for each, whether it repeats.
 
-Only the suffixes left over are sorted. A suffix's bucket is that of the smallest hash of any GRAM bytes among its first LENGTH,
+Only the suffixes left over go on. A suffix's bucket, which is no prefix of it, is that of the smallest hash of any GRAM bytes among its first LENGTH,
 so equal suffixes share a bucket, and so do runs of neighbours: a run is sent as its text, once a chunk, which costs
 three bytes a suffix and not a hundred. In a bucket the first LENGTH bytes of its suffixes are sorted by their fingerprints, and each that
 equals an earlier one is marked. A bucket holds its share of the runs, so its memory is bounded by their number.
