@@ -9,21 +9,21 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._hashing import mix
-from ._store import cut, new_path, release, spread
+from ._store import cut, drop, new_path, spread
 from ._tokens import default_path, tokens
 from .warc import _fs
 
 #: Ids of a sequence, and sequences of a shard.
 LENGTH, SHARD = 256, 1 << 15
 ROUNDS = 8
-#: Sequences that are compressed together on their way, and bytes that a reader takes at once.
-LOT, READ = 1 << 12, 4 << 20
-#: Of the blocks on their way: a step further than usual, since they are most of what is written twice.
-LEVEL = 4
+#: Sequences that are compressed together on their way, and bytes that a reader takes at once and that are dealt at once.
+LOT, READ, DEAL = 1 << 12, 4 << 20, 32 << 20
+#: Of zstd, for the blocks on their way. Nothing compresses them again.
+LEVEL = 3
 #: Stands for a null doc_id in a record.
 NONE = -(1 << 63)
 
@@ -64,14 +64,28 @@ def record_type(length: int, wide: bool) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("count", "<u4"), ("ids", "<u4" if wide else "<u2", (length,))])
 
 
+#: What a block holds of each of its records; their ids follow, without padding.
+HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("count", "<u4")])
+
+
+def _records(block: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    """A block's n records, padded."""
+    head = np.frombuffer(block, HEAD, n)
+    out = np.zeros(n, kind)
+    for name in HEAD.names:
+        out[name] = head[name]
+    out["ids"][np.arange(kind["ids"].shape[0]) < head["count"][:, None]] = np.frombuffer(block, kind["ids"].base, -1, n * HEAD.itemsize)
+    return out
+
+
 def sequences(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH, end_id: int = 0, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's ids, ended by end_id, in records of at most `length`: (part, first, count, block), many records a block.
+    """Every document's ids, ended by end_id, in sequences of at most `length`: (part, first, count, block), many sequences a block.
 
-    part and first number a block's records: first counts within the part, and a part is a task. A null text is an empty one.
-    An id that doesn't fit the records is an error.
+    part and first number a block's sequences: first counts within the part, and a part is a task. A null text is an empty one.
+    An id that doesn't fit the records is an error. A text is encoded whole, so the longest one bounds what a task holds.
     """
-    path, end, kind = tokenizer_path or default_path(), end_id.to_bytes(4, "little"), record_type(length, wide)
-    most = np.iinfo(kind["ids"].base).max
+    path, end, kind = tokenizer_path or default_path(), end_id.to_bytes(4, "little"), record_type(length, wide)["ids"].base
+    most = np.iinfo(kind).max
     if end_id > most:
         raise ValueError(f"end id {end_id} does not fit records of ids up to {most}; use wide")
 
@@ -81,26 +95,22 @@ def sequences(docs: DataFrame, tokenizer_path: str | None = None, length: int =
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")]
-                got = [np.frombuffer(x + end, "<u4") for x in t.encode(texts)]
-                pieces = [-(-len(x) // length) for x in got]
-                out = np.zeros(sum(pieces), kind)
-                at = 0
-                for doc, x, n in zip(b.column("doc_id").to_pylist(), got, pieces, strict=True):
-                    if (top := int(x.max())) > most:
-                        raise ValueError(f"id {top} does not fit records of ids up to {most}; use wide")
-                    own = out[at : at + n]
-                    own["doc_id"] = NONE if doc is None else doc
-                    own["piece"] = np.arange(n)
-                    own["count"] = length
-                    own["count"][-1] = len(x) - length * (n - 1)
-                    ids = np.zeros(n * length, kind["ids"].base)
-                    ids[: len(x)] = x
-                    own["ids"] = ids.reshape(n, length)
-                    at += n
-                for i in range(0, len(out), LOT):
-                    own = out[i : i + LOT]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([pack.compress(own.tobytes())], pa.binary())], ["part", "first", "count", "block"])
+                got = t.encode([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")])
+                size = np.array([len(x) // 4 + 1 for x in got], np.int64)
+                ids = np.frombuffer(end.join(got) + end, "<u4")
+                if (top := int(ids.max())) > most:
+                    raise ValueError(f"id {top} does not fit records of ids up to {most}; use wide")
+                ids = ids.astype(kind)
+                pieces = -(-size // length)
+                head = np.zeros(int(pieces.sum()), HEAD)
+                head["doc_id"] = np.repeat([NONE if x is None else x for x in b.column("doc_id").to_pylist()], pieces)
+                head["piece"] = np.arange(len(head)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head["count"] = np.minimum(length, np.repeat(size, pieces) - head["piece"].astype(np.int64) * length)
+                ends = np.concatenate([[0], np.cumsum(head["count"], dtype=np.int64)])
+                for i in range(0, len(head), LOT):
+                    own = head[i : i + LOT]
+                    block = pack.compress(own.tobytes() + ids[ends[i] : ends[i + len(own)]].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([block], pa.binary())], ["part", "first", "count", "block"])
                     first += len(own)
 
     return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "part int, first bigint, count bigint, block binary")
@@ -113,23 +123,24 @@ def materialise(docs: DataFrame, key: int, folder: str | None = None, tokenizer_
     """Write all documents' sequences in training order; returns the manifest: shard, path, first_slot, records, stride, crc32.
 
     Texts are encoded once, into numbered blocks in the shared folder. The number of a sequence is its place in its block's task, plus
-    the counts of the tasks before it; a Feistel permutation of range(n) under the key, walked along its cycles, makes it the sequence's
-    slot. Slots are dealt by ranges of `shard`, and each range's task puts its records in order and writes them with one
-    stride, so a record's place is (slot - first_slot) * stride and a reader can start anywhere. Every slot is taken exactly once,
-    or the task fails. A shard's size bounds a task, whatever the input. Files are named by attempt, and the manifest
+    the counts of the tasks before it, of which the driver holds one number a task; a Feistel permutation of range(n) under the key, walked
+    along its cycles, makes it the sequence's slot. Slots are dealt by ranges of `shard`, and each range's task puts its records in order and
+    writes them with one stride, so a record's place is (slot - first_slot) * stride and a reader can start anywhere. Every slot is taken
+    exactly once, or the task fails. A shard's size bounds a task, whatever the input. Files are named by attempt, and the manifest
     names those of the successful ones, so a lost executor costs its tasks only. The same blocks and key give the same order.
 
     Null texts are empty and have the end id alone; repeated rows and null ids are sequences like others. An empty table writes nothing.
-    ids are 16 bits wide unless `wide`; a larger one fails the task.
+    ids are 16 bits wide unless `wide`; a larger one fails the task. Columns of docs other than the two named, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "op10-shards")
     kind = record_type(length, wide)
-    made = cut(sequences(docs, tokenizer_path, length, end_id, wide, id_col, text_col), "op10-sequences")
-    parts = made.groupBy("part").agg(F.sum("count").alias("n"))
-    before = cut(parts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "op10-parts")
-    total = before.agg(F.sum("n")).first()[0] or 0
-    order = Feistel(max(1, total), key)
+    made = cut(sequences(docs, tokenizer_path, length, end_id, wide, id_col, text_col), "op10-sequences", "uncompressed")
+    counts = sorted(made.groupBy("part").agg(F.sum("count").alias("n")).collect())
+    total, before = 0, {}
+    for part, n in counts:
+        before[part], total = total, total + n
+    order, start = Feistel(max(1, total), key), spark.sparkContext.broadcast(before)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
@@ -138,18 +149,18 @@ def materialise(docs: DataFrame, key: int, folder: str | None = None, tokenizer_
         def flush():
             every, at = np.concatenate(held), np.concatenate(slots)
             by = np.argsort(at)
-            every, at = every[by], at[by]
+            at = at[by]
             edges = np.flatnonzero(np.diff(at // shard, prepend=-1))
-            rows = [(int(at[i] // shard), at[i:j].tobytes(), pack.compress(every[i:j].tobytes())) for i, j in zip(edges, [*edges[1:], len(at)], strict=True)]
+            rows = [(int(at[i] // shard), at[i:j].tobytes(), pack.compress(every[by[i:j]].tobytes())) for i, j in zip(edges, [*edges[1:], len(at)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "slots", "block"])
 
         for b in batches:
-            for first, block in zip(b.column("first").to_pylist(), b.column("block"), strict=True):
-                own = np.frombuffer(unpack.decompress(block.as_buffer().to_pybytes()), kind)
+            for part, first, n, block in zip(*(b.column(c).to_pylist() for c in ("part", "first", "count")), b.column("block"), strict=True):
+                own = _records(unpack.decompress(block.as_buffer()), n, kind)
                 held.append(own)
-                slots.append(order.slot(np.arange(first, first + len(own))))
+                slots.append(order.slot(np.arange(first, first + n) + start.value[part]))
                 size += own.nbytes
-                if size >= 64 << 20:
+                if size >= DEAL:
                     yield flush()
                     held, slots, size = [], [], 0
         if held:
@@ -175,10 +186,9 @@ def materialise(docs: DataFrame, key: int, folder: str | None = None, tokenizer_
             f.write(data)
         return pa.table({"shard": [number], "path": [path], "first_slot": [base], "records": [n], "stride": pa.array([kind.itemsize], pa.int32()), "crc32": [zlib.crc32(data)]})
 
-    numbered = made.join(before, "part").select((F.col("first") + F.col("before")).alias("first"), "block")
-    dealt = numbered.mapInArrow(deal, "shard bigint, slots binary, block binary")
+    dealt = made.mapInArrow(deal, "shard bigint, slots binary, block binary")
     manifest = cut(dealt.groupBy("shard").applyInArrow(write, MANIFEST), "op10-manifest")
-    release(spark)
+    drop(spark, made)
     return manifest
 
 
