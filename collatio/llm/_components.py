@@ -18,13 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     neighbours and itself (small star); rounds grow as the logarithm of the longest path. The minima are partial
     aggregates, and they are written before they are joined, so a node with many neighbours is neither gathered
     nor stuck in one task: a small table of minima is broadcast by its known size, a large one is joined with
-    splitting. Links to itself and repeated links don't matter. No link, no row.
+    splitting. The rounds end when every linked id has one link, to an id that has none. Links to itself and repeated links don't matter.
+    No link, no row.
     """
     now = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", PLAIN)
-    seen = None
-    while (state := tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != seen and state[0]:
-        seen = state
-        tasks = 1 + state[0] // LOT  # a round's tables are as large as the links, and often few: no task or file for nothing
+    while True:
+        ends = now.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        size, unsettled = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        if not unsettled:
+            break
+        tasks = 1 + size // LOT  # a round's tables are as large as the links, and often few: no task or file for nothing
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).coalesce(tasks), "links", PLAIN)
         large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks), "links", PLAIN)

@@ -37,7 +37,8 @@ def chunked(docs: DataFrame, chunks: int, knots: list[int], id_col: str = "doc_i
     """docs as (chunk, doc_id, text[, row]), dealt by chunk; row holds the other columns in a struct.
 
     The chunk is a monotone function of doc_id: between two knots it is interpolated, so any distribution of ids
-    gives even chunks, and the same knots give the same chunks. Rows with a null doc_id go to chunk -1 - i by their text.
+    gives even chunks, and the same knots give the same chunks. Rows with a null doc_id, which are compared
+    with nothing, go in turn to the chunks below 0.
     """
     n = len(knots) - 1
     lo, x = F.array(*map(F.lit, knots)), F.col(id_col)
@@ -45,7 +46,7 @@ def chunked(docs: DataFrame, chunks: int, knots: list[int], id_col: str = "doc_i
     a, b = F.element_at(lo, place + 1), F.element_at(lo, place + 2)
     within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - a).cast("double") / (b - a).cast("double")))
     chunk = F.least(F.lit(chunks - 1), F.floor((place + within) * F.lit(chunks / n)).cast("int"))
-    other = -1 - F.pmod(F.xxhash64(F.col(text_col)), F.lit(chunks)).cast("int")
+    other = -1 - (F.monotonically_increasing_id() % chunks).cast("int")
     cols = [F.when(x.isNull(), other).otherwise(chunk).cast("int").alias("chunk"), x.cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if carry:
         rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]

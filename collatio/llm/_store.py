@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -13,12 +15,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI of `spark.checkpoint.dir`; a folder of our own only where that is unset (tests)."""
+    """The URI of `spark.checkpoint.dir`. Where that is unset and driver and executors are one process (tests), a folder of our own until the process ends."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="collatio-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         path = f"file://{_own[app]}"
     return path.rstrip("/")
 

@@ -23,7 +23,7 @@ THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
 #: Items of an index block. A term in more than this share of the blocks (or items) counts with its largest impact in all of them.
 BLOCK, COMMON = 16, 0.25
-#: Items and bytes of an index; more items go to more indexes, one pass over the documents each.
+#: Items and bytes of the indexes that are broadcast at a time; more items take more passes over the documents.
 SHARD_ITEMS, SHARD_BYTES = 20_000, 16 << 20
 #: Words of the smallest class of items. Passages are twice as long as the longest item of a class and overlap by half.
 CLASS = 64
@@ -80,7 +80,7 @@ class Index:
             for d, x in zip(docs, ws, strict=True):
                 best[d // BLOCK] = max(best.get(d // BLOCK, 0.0), x)
             self.blocks.append(best)
-        self.bounds = [self._bounds([list(x) for x in self.blocks], [list(x.values()) for x in self.blocks], -(-n // BLOCK)), self._bounds(self.items, self.weights, n)]
+        self.bounds = self._bounds([list(x) for x in self.blocks], [list(x.values()) for x in self.blocks], -(-n // BLOCK))
         parts = [split(t) for t in texts]
         self.question = [_shingles(q) for q, _ in parts]
         self.answer = [_shingles(a) for _, a in parts]
@@ -99,24 +99,20 @@ class Index:
         return ptr, flat(places, np.int64), flat(tops, np.float64), np.diff(ptr) > COMMON * n, n
 
     def may(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """Which of n passages, given as distinct (passage, term) pairs, can reach the threshold: by the maxima of the blocks, then of
-        the items, of those left. Common terms aren't looked up, they count with their maxima."""
-        left = np.ones(n, bool)
-        for ptr, places, tops, common, width in self.bounds:
-            own = np.flatnonzero(left)
-            number = np.cumsum(left) - 1
-            keep = left[passage]
-            p, t = number[passage[keep]], term[keep]
-            low = np.bincount(p[common[t]], weights=self.most[t[common[t]]], minlength=len(own))
-            p, t = p[~common[t]], t[~common[t]]
-            step = max(1, (1 << 21) // max(1, width))
-            edges = np.searchsorted(p, np.arange(0, len(own) + step, step))
-            for lo, a, b in zip(range(0, len(own), step), edges[:-1], edges[1:], strict=False):
-                count = ptr[t[a:b] + 1] - ptr[t[a:b]]
-                at = np.repeat(ptr[t[a:b]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                size = min(step, len(own) - lo)
-                bound = np.bincount(np.repeat(p[a:b] - lo, count) * width + places[at], weights=tops[at], minlength=size * width)
-                left[own[lo : lo + size]] = low[lo : lo + size] + bound.reshape(size, width).max(axis=1, initial=0.0) >= threshold - 1e-9
+        """Which of n passages, given as distinct (passage, term) pairs, the search can't leave out at once: those that some block's maxima
+        lift to the threshold. Common terms aren't looked up, they count with their maxima."""
+        ptr, places, tops, common, width = self.bounds
+        low = np.bincount(passage[common[term]], weights=self.most[term[common[term]]], minlength=n)
+        p, t = passage[~common[term]], term[~common[term]]
+        step = max(1, (1 << 21) // max(1, width))
+        edges = np.searchsorted(p, np.arange(0, n + step, step))
+        left = np.zeros(n, bool)
+        for lo, a, b in zip(range(0, n, step), edges[:-1], edges[1:], strict=False):
+            count = ptr[t[a:b] + 1] - ptr[t[a:b]]
+            at = np.repeat(ptr[t[a:b]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            size = min(step, n - lo)
+            bound = np.bincount(np.repeat(p[a:b] - lo, count) * width + places[at], weights=tops[at], minlength=size * width)
+            left[lo : lo + size] = low[lo : lo + size] + bound.reshape(size, width).max(axis=1, initial=0.0) >= threshold - 1e-9
         return left
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -170,40 +166,50 @@ class Index:
         return found
 
 
-def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items: int = SHARD_ITEMS, size: int = SHARD_BYTES) -> Iterator[Index]:
-    """Indexes over all items, each of one class of lengths and within the bounds; read from Spark one row at a time."""
+def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items: int = SHARD_ITEMS, size: int = SHARD_BYTES) -> Iterator[list[Index]]:
+    """All items, a bounded number and size at a time, as an index for each class of lengths; read from Spark one row at a time."""
     words = F.size(F.split(F.trim(F.col(text_col)), r"[^\p{L}\p{N}]+"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(words / F.lit(CLASS)))).cast("int")
     rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), level.alias("level"))
-    batch: list[tuple[int, str]] = []
-    held, now, longest = 0, None, 0
-
-    def count(t: str) -> int:
-        return len(_words([t.encode()])[0])
-
+    batch: dict[int, list[tuple[int, int, str]]] = {}
+    held, count = 0, 0
     for r in rows.orderBy("level", "i", "t").toLocalIterator():
-        n = count(r["t"])
+        n = len(_words([r["t"].encode()])[0])
         if not n:
             continue
-        if batch and (r["level"] != now or len(batch) >= items or held >= size):
-            yield Index(batch, longest)
-            batch, held, longest = [], 0, 0
-        batch.append((r["i"], r["t"]))
-        held, now, longest = held + len(r["t"]), r["level"], max(longest, n)
+        if count >= items or held >= size:
+            yield _indexes(batch)
+            batch, held, count = {}, 0, 0
+        batch.setdefault(r["level"], []).append((n, r["i"], r["t"]))
+        held, count = held + len(r["t"]), count + 1
     if batch:
-        yield Index(batch, longest)
+        yield _indexes(batch)
+
 
+def _indexes(batch: dict[int, list[tuple[int, int, str]]]) -> list[Index]:
+    return [Index([(i, t) for _, i, t in own], max(n for n, _, _ in own)) for own in batch.values()]
 
-def scan(texts: list[bytes], index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float, int]]:
+
+def scan(texts: list[bytes], indexes: list[Index], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float, int]]:
     """(text, item, score, question overlap, answer overlap, first word) of every verified leak: each pair's best passage."""
     w, first = _words(texts)
+    best: dict[tuple[int, int], tuple] = {}
+    for index in indexes:
+        for key, got in _retrieved(w, first, index, threshold, overlap):
+            if key not in best or got[:3] > best[key][:3]:
+                best[key] = got
+    return [(d, i, *got) for (d, i), got in best.items()]
+
+
+def _retrieved(w: np.ndarray, first: np.ndarray, index: Index, threshold: float, overlap: float) -> Iterator[tuple[tuple[int, int], tuple]]:
+    """What the texts' passages retrieve from an index, verified."""
     stride = max(CLASS, index.longest)
     term = index.find(w)
     size = np.diff(first)
     segments = -(-size // stride)
     count = np.maximum(1, segments - 1) * (size > 0)
     base = np.concatenate([[0], np.cumsum(count)])
-    doc = np.repeat(np.arange(len(texts)), size)
+    doc = np.repeat(np.arange(len(size)), size)
     segment = (np.arange(len(w)) - first[:-1][doc]) // stride
     hit = np.flatnonzero(term >= 0)
     pairs = []
@@ -213,7 +219,6 @@ def scan(texts: list[bytes], index: Index, threshold: float = THRESHOLD, overlap
         pairs.append((base[:-1][doc[hit[ok]]] + p[ok]) * len(index.terms) + term[hit[ok]])
     pairs = np.unique(np.concatenate(pairs))
     passage, terms = pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms))
-    best: dict[tuple[int, int], tuple] = {}
     for p in np.flatnonzero(index.may(passage, terms, int(base[-1]), threshold)):
         a, b = np.searchsorted(passage, [p, p + 1])
         d = int(np.searchsorted(base, p, side="right") - 1)
@@ -227,49 +232,75 @@ def scan(texts: list[bytes], index: Index, threshold: float = THRESHOLD, overlap
                     made[k] = H.windows(own, np.array([0, len(own)]), k)[0]
                 shares.append(float(np.isin(want, made[k]).mean()) if k else 1.0)
             if min(shares) >= overlap - 1e-9:
-                key, got = (d, index.ids[item]), (score, *shares, lo - int(first[d]))
-                if key not in best or got[:3] > best[key][:3]:
-                    best[key] = got
-    return [(d, i, *got) for (d, i), got in best.items()]
+                yield (d, index.ids[item]), (score, *shares, lo - int(first[d]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id) of every document that holds a benchmark item, with score, question_overlap, answer_overlap and word.
 
     Words are runs of letters and digits, lower-cased. Every whole text is cut into passages that overlap by half and are
-    twice as long as the longest item, so an item of the text lies in one of them. Each passage retrieves all items
-    that reach the threshold; a pair stays when the passage holds the asked share of the question's and of the
+    twice as long as the longest item of a class of lengths, so an item of the text lies in one of them. Passages that no block's
+    maxima lift to the threshold are left out in bulk; block-max WAND retrieves for each of the others all items
+    that reach it. A pair stays when the passage holds the asked share of the question's and of the
     answer's distinct shingles. word is the passage's first word. Null or empty texts and items match nothing; an
-    item without an answer needs its question alone; rows with a null doc_id or item_id are left out. Rows that
-    repeat a doc_id or an item_id give one row a pair, the best. The index is broadcast, and its items and bytes are
-    bounded; a larger benchmark is taken in several.
+    item without an answer needs its question alone; rows with a null item_id are left out. Rows that
+    repeat a doc_id (a null one too) or an item_id give one row a pair, the best. Other columns, whatever their names, are ignored. The
+    indexes of a pass are broadcast, and their items and bytes are bounded; a larger benchmark takes more passes. A text is searched
+    whole, so the longest one bounds what a task holds.
     """
     spark = docs.sparkSession
-    base = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    base = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     out = spark.createDataFrame([], FOUND)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"]
 
-    def one(index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+    def one(indexes: list[Index]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"]
-            for whole in batches:
-                for a in range(0, whole.num_rows, 256):
-                    b = whole.slice(a, 256)
-                    ids = b.column("doc_id").to_pylist()
-                    rows = [(ids[d], *r) for d, *r in scan([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")], sent.value, threshold, overlap)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for b in _lots(batches):
+                ids = b.column("doc_id").to_pylist()
+                rows = [(ids[d], *r) for d, *r in scan(_texts(b), sent.value, threshold, overlap)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         return base.mapInArrow(run, FOUND)
 
-    for index in shards(benchmark):
-        out = out.unionByName(one(index))
+    for indexes in passes(benchmark):
+        out = out.unionByName(one(indexes))
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", (-F.col("word")).alias("w"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap", (-F.col("b.w")).alias("word"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose texts hold no benchmark item: as `leaks` finds them, row by row, so ids don't matter."""
+    spark = docs.sparkSession
+    base = spread(docs.select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    for indexes in passes(benchmark):
+        base = base.mapInArrow(_sieve(spark.sparkContext.broadcast(indexes), threshold, overlap), base.schema)
+    return base.select("row.*")
+
+
+def _sieve(sent, threshold: float, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _lots(batches):
+            keep = np.ones(b.num_rows, bool)
+            keep[[r[0] for r in scan(_texts(b), sent.value, threshold, overlap)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            yield whole.slice(a, 256)
+
+
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document that holds a benchmark item."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

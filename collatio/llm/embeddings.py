@@ -22,6 +22,12 @@ CELL, CENTRES = 1500, 4096
 SIDE = 1024
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x with length 1. Rows are divided by their largest component first, so that no finite one overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means: k unit centres for the unit rows of x, started from rows far from each other."""
     centres = x[:1]
@@ -54,7 +60,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, cell: int = CELL, centres: int
     for (label, dim), k in want.items():
         x = np.array([r["vec"] for r in rows if r["label"] == label and len(r["vec"]) == dim], np.float64)
         if len(x) >= 2:
-            out[label, dim] = kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, max(2, len(x) // 4)))
+            out[label, dim] = kmeans(unit(x), min(k, max(2, len(x) // 4)))
     return out
 
 
@@ -101,8 +107,7 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
                 if c is None:
                     rows += [(i, 0, True) for i in own]
                     continue
-                x = np.stack([flat[at[i] : at[i + 1]] for i in own])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(np.stack([flat[at[i] : at[i + 1]] for i in own]))
                 sims = x @ c.T
                 home = np.argmax(sims, axis=1)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))[home]
@@ -125,8 +130,7 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     def products(t: pa.Table) -> pa.Table:
         is_target = t["target"].to_numpy(zero_copy_only=False)
         ids, weights = t["id"].to_numpy(), t["weight"].to_numpy()
-        x = np.array(t["vec"].combine_chunks().values.to_numpy(), np.float64).reshape(len(ids), -1)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.array(t["vec"].combine_chunks().values.to_numpy(), np.float64).reshape(len(ids), -1))
         a, b = np.flatnonzero(~is_target), np.flatnonzero(is_target)
         links = np.zeros(len(a), np.int64)
         low_b = ids[b].copy()

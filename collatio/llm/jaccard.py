@@ -336,20 +336,27 @@ def near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     compared, so a group of near copies costs about one comparison each. No list is capped.
 
     Null or empty texts and texts without words have an empty set and link with nothing. Rows with a null id come
-    back with their set's size and a null component. Rows that repeat an id are one node: each comes back, with the id's
-    component. Extra columns are ignored.
+    back with their set's size and a null component. Rows that repeat an id are one node, whatever their texts: each comes back, with
+    its own set's size and the id's component. Extra columns, whatever their names, are ignored. A text's set is made whole, so the
+    longest one bounds what a task holds.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = cut(sets(base, words, percent), "op5-sets")
     release(spark)
     known = described.where("doc_id is not null").select("doc_id", "n", "a", "b")
-    classes = cut(known.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "op5-classes")
+    keys = ["n", "a", "b"]
+    classes = cut(known.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "op5-classes")
+    same = F.struct(*keys)
+    several = known.groupBy("doc_id").agg(F.min(same).alias("x"), F.max(same).alias("y")).where("x <> y").select("doc_id")
+    several = cut(known.join(several, "doc_id").distinct().join(classes, keys).select("doc_id", "rep"), "op5-several")  # ids of rows with different texts
+    ties = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = components(cut(candidates(described, percent), "op5-edges"))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("doc_id"), "cluster")
-    comp = components(cut(links(described, members, percent), "op5-forest"))
-    per = cut(classes.join(comp, classes["rep"] == comp["id"], "left").select("n", "a", "b", F.coalesce("component", "rep").alias("c")), "op5-per-class")
-    out = known.join(per, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    comp = components(cut(links(described, members, percent).unionByName(ties), "op5-forest"))
+    per = cut(classes.join(comp, classes["rep"] == comp["id"], "left").select(*keys, F.coalesce("component", "rep").alias("c")), "op5-per-class")
+    whole = several.join(comp, several["rep"] == comp["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("own"))
+    out = known.join(per, keys, "left").join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "c", "doc_id").alias("component_id"))
     none = described.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(none)
 

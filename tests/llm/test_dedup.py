@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from collatio.llm import _hashing as H
+from collatio.llm import _repeats as R
 from collatio.llm import embeddings, jaccard, substring, suffix
 from collatio.llm._components import components
 
@@ -175,3 +176,29 @@ def test_cells_are_centred():
 def test_null_ids_of_vectors(spark):
     got = embeddings.near(spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], "vec_id bigint, embedding array<double>, label int")).orderBy(F.col("vec_id").asc_nulls_first()).collect()
     assert [tuple(r) for r in got] == [(None, 0, None, True), (1, 0, 1, True)]
+
+
+def test_extreme_vectors(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0001e200], 0), (3, [1e-200, 1e-200], 0), (4, [1.0, 0.3], 0), (5, [0.3, 1.0], 0), (6, [5e-324, 0.0], 0), (7, [1e308, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
+@pytest.mark.parametrize("width", [1, 4, 32])
+def test_an_id_is_one_node(spark, width):
+    rng = random.Random(2)
+    x, y, z = (" ".join(rng.choices(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], k=40)) for _ in range(3))
+    rows = [(1, x), (2, x), (2, y), (3, z), (4, y), (4, z), (5, None), (5, z), (6, "alone in here it is"), (7, "")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        got = jaccard.near(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((i, len(X.shingle_set(t, 4)), 1 if i < 6 else i) for i, t in rows)
+
+
+def test_null_ids_spread(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    sizes = [r["count"] for r in R.chunked(rows, 8, [0, 1]).groupBy("chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
