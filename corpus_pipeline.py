@@ -4,8 +4,8 @@ toxicity: documents that the model rejects go. near duplicates: one document of
 id. repeated passages: words of windows that an earlier document has are cut out, and a document with no word left goes.
 benchmark leaks: documents that hold a test item go. packing: the rest, as token sequences.
 All but the last return the columns of `documents`, and any others; a text that nothing is cut from stays as it is, null or empty too, and
-n_chars is that of the text. Rows with a null id are scored for toxicity like others, have no near copies, lose no words and hold no
-leak by name, so they stay; repeated rows stay or go together. An empty table goes through all stages empty.
+n_chars is that of the text. Rows with a null id are judged for toxicity and leaks like others, have no near copies and lose no words;
+repeated rows stay or go together. An empty table goes through all stages empty.
 """
 
 from __future__ import annotations
@@ -44,9 +44,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, row by row."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
