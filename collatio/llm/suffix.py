@@ -1,16 +1,19 @@
-"""Repeats of LENGTH bytes by fingerprints, after a difference-cover sample has told which suffixes can repeat.
-
-No suffix array is built: suffixes are never put in lexicographic order, and samples get no ranks. Hashes stand in for both throughout.
+"""Repeats of LENGTH bytes: suffixes sorted one bucket at a time, long ties resolved by the ranks of a difference-cover sample.
 
 Two equal strings of LENGTH bytes, at i and j, have an offset k < PERIOD at which both i + k and j + k lie in the cover
-sample (counted from the start of each document), whatever i and j are. So the bytes sampled there
-repeat among the samples, and a suffix without a repeated sample among its first PERIOD places has no equal. The
-samples, 8 in 57 places, are hashed first; their distinct hashes are compared in buckets, and the answer is a bit for each, whether it repeats.
+sample (8 of every 57 places), whatever i and j are. The sample serves twice.
+
+First, counted from the start of each document, it tells which suffixes can repeat: the bytes sampled repeat among the samples, so a
+suffix without a repeated sample among its first PERIOD places has no equal. The samples' distinct hashes are compared in buckets of
+an exchange, and the answer is a bit for each, whether it repeats. A hash that two samples share by chance costs work, not a wrong result.
 
-Only the suffixes left over go on. A suffix's bucket, which is no prefix of it, is that of the smallest hash of any GRAM bytes among its first LENGTH,
+The suffixes left over go to the bucket of the smallest hash of any GRAM bytes among their first LENGTH,
 so equal suffixes share a bucket, and so do runs of neighbours: a run is sent as its text, once a chunk, which costs
-three bytes a suffix and not a hundred. In a bucket the first LENGTH bytes of its suffixes are sorted by their fingerprints, and each that
-equals an earlier one is marked. A bucket holds its share of the runs, so its memory is bounded by their number.
+three bytes a suffix and not a hundred. A bucket keeps each distinct run once, ranks the cover sample of its text (radix on words of eight
+bytes, then doubling by whole periods), and sorts its suffixes one block at a time, by their leading two bytes: by words up to the
+last place where a cover hit can be, and from there by ranks, at the hit that a suffix and its group's first member
+have in common. Neighbours in that order that share LENGTH bytes are repeats, and all but the earliest are marked. A block bounds
+what a sort holds, and a bucket its share of the runs.
 """
 
 from __future__ import annotations
@@ -35,8 +38,14 @@ LENGTH = 100
 PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
 #: Bytes whose smallest hash gives a suffix its bucket.
 GRAM = 16
-#: Bytes of text looked at together within a chunk, and fingerprints sorted together in a bucket.
-BATCH, SORTED = 1 << 20, 1 << 20
+#: Bytes of text looked at together within a chunk, and suffixes sorted together in a bucket.
+BATCH, SORTED = 1 << 20, 1 << 18
+#: Bytes of a word, and of the prefix by which samples are named before names are doubled.
+WORD, NAMED = 8, 64
+#: The place of a residue in the cover, and for each two residues the first offset that takes both into it.
+SLOT = np.full(PERIOD, -1)
+SLOT[list(COVER)] = range(len(COVER))
+COMMON = np.array([[next(k for k in range(PERIOD) if SLOT[(a + k) % PERIOD] >= 0 and SLOT[(b + k) % PERIOD] >= 0) for b in range(PERIOD)] for a in range(PERIOD)], np.int64)
 
 RUNS = "bucket int, chunk int, sizes binary, texts binary"
 MARKS = "chunk int, bucket int, bits binary"
@@ -81,33 +90,148 @@ class Runs:
         })
 
 
-def mark(sent: DataFrame, length: int) -> DataFrame:
+def _changes(keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys begin to be others."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return new
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key, equal ones alike."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(_changes(keys[order])) - 1
+    return out
+
+
+class Suffixes:
+    """The text of a bucket's runs and the ranks of its cover sample; `ordered` sorts suffixes by them."""
+
+    def __init__(self, text: bytes, length: int):
+        self.length = length
+        padded = text + bytes(length + PERIOD + NAMED)
+        self.words = np.ndarray((len(padded) - WORD + 1,), ">u8", padded, strides=(1,))
+        periods = -(-len(text) // PERIOD) + 1
+        places = (np.arange(periods)[:, None] * PERIOD + np.array(COVER)).ravel()
+        places = places[places < len(text)]
+        order, new = self._by_words(places, NAMED)
+        names = np.zeros(periods * len(COVER), np.uint64)
+        names[order] = np.cumsum(new)  # 0 stands behind the end
+        depth, step = NAMED, len(COVER)
+        while depth < length:  # names of a prefix and of the place whole periods on: longer names
+            after = np.zeros_like(names)
+            after[:-step] = names[step:]
+            names = _dense(names << np.uint64(32) | after)
+            depth, step = depth + step // len(COVER) * PERIOD, 2 * step
+        self.ranks = names
+
+    def _word(self, places: np.ndarray) -> np.ndarray:
+        return self.words[places].astype(np.uint64)
+
+    def _by_words(self, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of places by the first `depth` bytes, and where in it these change. Only ties are looked at further."""
+        first = self._word(places)
+        order = np.argsort(first)
+        new = _changes(first[order])
+        at, begins = np.arange(len(places)), new
+        for d in range(WORD, depth, WORD):
+            tied = ~begins | ~np.append(begins[1:], True)
+            at = at[tied]
+            if not len(at):
+                break
+            begins, word = begins[tied], self._word(places[order[at]] + d)
+            group = np.cumsum(begins) - 1
+            mixed = np.zeros(len(at), bool)
+            mixed[group[_changes(word) & ~begins]] = True
+            mixed = mixed[group]  # groups whose word is the same throughout stay as they are
+            own = at[mixed]
+            key = group[mixed].astype(np.uint64) << np.uint64(32) | _dense(word[mixed])
+            by = np.argsort(key)
+            order[own] = order[own[by]]
+            new[own] = _changes(key[by])
+            begins = new[at]
+        return order, new
+
+    def _rank(self, places: np.ndarray) -> np.ndarray:
+        return self.ranks[places // PERIOD * len(COVER) + SLOT[places % PERIOD]]
+
+    def ordered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of suffixes, by `length` bytes at least, and where in it their first `length` bytes change."""
+        order, new = self._by_words(places, PERIOD - 1)
+        same = ~new  # so far: alike up to the first place where a cover hit may be missing
+        left = np.flatnonzero(same | np.append(same[1:], False))
+        begins, open_ = new[left], left
+        known = np.zeros(len(places), bool)  # alike with the one before, by rank
+        while len(open_):
+            group = np.cumsum(begins) - 1
+            p = places[order[open_]]
+            pivot = p[np.flatnonzero(begins)][group]
+            k = COMMON[p % PERIOD, pivot % PERIOD]
+            a, b = self._rank(p + k), self._rank(pivot + k)
+            key = group * 3 + (a > b) + (a >= b)
+            by = np.argsort(key, kind="stable")
+            order[open_] = order[open_[by]]
+            key = key[by]
+            begins = _changes(key)
+            equal = key % 3 == 1
+            known[open_[equal & ~begins]] = True
+            more = ~equal & (~begins | ~np.append(begins[1:], True))
+            open_, begins = open_[more], begins[more]
+        at = np.flatnonzero(same & ~known)
+        for d in [*range(PERIOD - 1, self.length - WORD, WORD), self.length - WORD]:  # ranks may tell apart what lies behind `length` bytes
+            at = at[self._word(places[order[at]] + d) == self._word(places[order[at - 1]] + d)]
+        out = np.ones(len(places), bool)
+        out[known] = False
+        out[at] = False
+        return order, out
+
+    def blocks(self, places: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """The numbers of the places, in blocks of about `most` by the leading two bytes."""
+        lead = (self._word(places) >> np.uint64(48)).astype(np.int64)
+        ends = np.cumsum(np.bincount(lead, minlength=1 << 16))
+        block = ((ends - 1) // most)[lead]
+        for k in np.unique(block):
+            yield np.flatnonzero(block == k)
+
+
+def mark(sent: DataFrame, length: int, most: int = SORTED) -> DataFrame:
     """For each bucket and chunk the bits of the suffixes that equal an earlier one: of a smaller chunk, or sent before it by the same."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
-        parts = []
+        first, size, ends, kept, seen = [], [], [], [], set()
         for sizes, texts in zip(t["sizes"], t["texts"], strict=True):
-            size = np.frombuffer(sizes.as_py(), "<u4").astype(np.int64)
-            buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts.as_py()), np.uint8)
-            n = size - length + 1
-            places = np.arange(n.sum()) + np.repeat(np.concatenate([[0], np.cumsum(size - n)[:-1]]), n)
-            parts.append(H.at(buf, places, length))
-        ends = np.cumsum([len(p) for p in parts])
-        every = np.concatenate(parts)
-        del parts
-        again = np.zeros(len(every), bool)
-        lots = 1 + len(every) // SORTED
-        which = ((every & np.uint64(0xFFFFFFFF)) * np.uint64(lots) >> np.uint64(32)).astype(np.uint16)
-        for k in range(lots):  # equal fingerprints are in one lot; a lot bounds what a sort needs
-            own = np.flatnonzero(which == k)
-            order = np.argsort(every[own], kind="stable")
-            own = own[order]
-            again[own[1:]] = every[own[1:]] == every[own[:-1]]
+            data, at, own = zstandard.ZstdDecompressor().decompress(texts.as_py()), 0, np.frombuffer(sizes.as_py(), "<u4").astype(np.int64)
+            for n in own.tolist():
+                text = data[at : at + n]
+                at += n
+                first.append(text not in seen)
+                if first[-1]:
+                    seen.add(text)
+                    kept.append(text)
+            size.append(own)
+            ends.append(int((own - length + 1).sum()))
+        del seen
+        size, first = np.concatenate(size), np.array(first)
+        again = np.ones(sum(ends), bool)  # a whole run that is known repeats
+        n, own = size - length + 1, size[first]
+        m = own - length + 1
+        places = np.arange(m.sum()) + np.repeat(np.cumsum(own - m) - (own - m), m)
+        some = np.zeros(len(places), bool)
+        s = Suffixes(b"".join(kept), length)
+        del kept
+        for block in s.blocks(places, most):
+            order, new = s.ordered(places[block])
+            at = np.flatnonzero(new)
+            least = np.minimum.reduceat(block[order], at)
+            some[block] = True
+            some[least] = False
+        again[np.repeat(first, n)] = some
         bits, a = [], 0
-        for b in ends.tolist():
-            bits.append(np.packbits(again[a:b]).tobytes())
-            a = b
+        for e in ends:
+            bits.append(np.packbits(again[a : a + e]).tobytes())
+            a += e
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "bits": pa.array(bits, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, MARKS)
@@ -220,13 +344,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """Remove every byte covered by a string of `length` bytes that also starts earlier: in a smaller doc_id, or before it in the same document.
 
     Whole texts are read as UTF-8; matches never cross documents; overlapping matches count; strings are judged on the
-    input, not on what is left. A document that equals an earlier one goes by its fingerprint alone. Two different strings
-    are taken for equal with probability 2**-64 a pair. `length` must be over 57.
+    input, not on what is left. Strings are compared, not hashes; but a document that equals an earlier one goes by its fingerprint alone,
+    which two different documents share with probability 2**-64 a pair. `length` must be over 57.
 
     Returns doc_id, n_bytes, n_removed, spans (array of [start, stop) byte places, maximal), kept (binary: what is left may cut a
     character) and row (a struct of all other input columns). Null and empty texts have no bytes. Texts shorter than
     `length` lose nothing. Rows that repeat an id are one document, in the order of their texts; each comes back. Rows with a null id
-    are neither compared nor changed.
+    are neither compared nor changed. Other columns, whatever their names, come back in row. A chunk holds its documents whole, so the
+    longest text bounds what a task holds.
     """
     if length <= PERIOD:
         raise ValueError(f"length must be over {PERIOD}")

@@ -202,3 +202,22 @@ def test_null_ids_spread(spark):
     rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
     sizes = [r["count"] for r in R.chunked(rows, 8, [0, 1]).groupBy("chunk").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
+
+
+@pytest.mark.parametrize("length", [58, 64, 100, 121, 122, 240])
+def test_suffixes_are_in_order(length):
+    """The order of a bucket equals a plain sort, block by block, and ties are found where they are, however long."""
+    rng = random.Random(length)
+    for alphabet in (b"ab", b"a\x00\xff", b"abcdefgh "):
+        base = bytes(rng.choices(alphabet, k=1200))
+        parts = [base[a : a + rng.randint(150, 600)] for a in (rng.randrange(900) for _ in range(12))]
+        text = b"".join([*parts, alphabet[:1] * 700, bytes(rng.choices(alphabet, k=300))])
+        places = np.arange(len(text) - length + 1)
+        s = suffix.Suffixes(text, length)
+        keys = [text[p : p + length] for p in places]
+        order, new = s.ordered(places)
+        got = [keys[i] for i in order]
+        assert got == sorted(keys)
+        assert new.tolist() == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+        blocks = list(s.blocks(places, 300))
+        assert len(blocks) > 1 and [keys[b[i]] for b in blocks for i in s.ordered(places[b])[0]] == got
