@@ -21,8 +21,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Words of a shingle, and the share of the question's and of the answer's shingles that a leak holds.
 SHINGLE, OVERLAP = 5, 0.8
-#: Items of an index block. A term in more than this share of the blocks (or items) counts with its largest impact in all of them.
-BLOCK, COMMON = 16, 0.25
+#: Items of an index block.
+BLOCK = 4
 #: Items and bytes of the indexes that are broadcast at a time; more items take more passes over the documents.
 SHARD_ITEMS, SHARD_BYTES = 20_000, 16 << 20
 #: Words of the smallest class of items. Passages are twice as long as the longest item of a class and overlap by half.
@@ -92,27 +92,25 @@ class Index:
         return np.where(self.terms[k] == w, k, -1) if len(self.terms) else np.full(len(w), -1)
 
     @staticmethod
-    def _bounds(places: list[list[int]], tops: list[list[float]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        """For each term where it counts and how much at most, in one array; and which terms are common."""
+    def _bounds(places: list[list[int]], tops: list[list[float]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """For each term the blocks it is in and how much it counts there at most, in one array."""
         ptr = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int64)
         flat = lambda lists, kind: np.array([x for own in lists for x in own], kind)
-        return ptr, flat(places, np.int64), flat(tops, np.float64), np.diff(ptr) > COMMON * n, n
+        return ptr, flat(places, np.int64), flat(tops, np.float64), n
 
     def may(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> np.ndarray:
         """Which of n passages, given as distinct (passage, term) pairs, the search can't leave out at once: those that some block's maxima
-        lift to the threshold. Common terms aren't looked up, they count with their maxima."""
-        ptr, places, tops, common, width = self.bounds
-        low = np.bincount(passage[common[term]], weights=self.most[term[common[term]]], minlength=n)
-        p, t = passage[~common[term]], term[~common[term]]
+        lift to the threshold."""
+        ptr, places, tops, width = self.bounds
         step = max(1, (1 << 21) // max(1, width))
-        edges = np.searchsorted(p, np.arange(0, n + step, step))
+        edges = np.searchsorted(passage, np.arange(0, n + step, step))
         left = np.zeros(n, bool)
         for lo, a, b in zip(range(0, n, step), edges[:-1], edges[1:], strict=False):
-            count = ptr[t[a:b] + 1] - ptr[t[a:b]]
-            at = np.repeat(ptr[t[a:b]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            count = ptr[term[a:b] + 1] - ptr[term[a:b]]
+            at = np.repeat(ptr[term[a:b]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             size = min(step, n - lo)
-            bound = np.bincount(np.repeat(p[a:b] - lo, count) * width + places[at], weights=tops[at], minlength=size * width)
-            left[lo : lo + size] = low[lo : lo + size] + bound.reshape(size, width).max(axis=1, initial=0.0) >= threshold - 1e-9
+            bound = np.bincount(np.repeat(passage[a:b] - lo, count) * width + places[at], weights=tops[at], minlength=size * width)
+            left[lo : lo + size] = bound.reshape(size, width).max(axis=1, initial=0.0) >= threshold - 1e-9
         return left
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
