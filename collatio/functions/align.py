@@ -20,15 +20,15 @@ def _page(ref: pd.Series, hyp: pd.Series, failed: pd.Series) -> pd.DataFrame:
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = []
     for r, h in zip(ref, hyp, strict=True):
-        ops = [op for op, _, _ in K.script(r or "", h or "")]
-        rows.append((ops.count("insert"), ops.count("delete"), ops.count("replace")))
+        s = K.script(r or "", h or "")
+        rows.append(tuple(map(s.count, ("insert", "delete", "replace"))))
     return pd.DataFrame(rows, columns=["ins", "dele", "sub"])
 
 
 def _lines(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     def one(r, h):
-        refs = K.split_lines(r)
-        return [{"line_idx": i, "kind": x.kind, "hyp_idx": x.at, "sim": float(x.sim), "ref": refs[i], "hyp": x.hyp} for i, x in enumerate(K.match_lines(refs, K.split_lines(h)).lines)]
+        p = K.match_lines(K.split_lines(r), K.split_lines(h))
+        return [{"line_idx": i, "kind": p.kind[i], "hyp_idx": p.at[i], "sim": p.sim[i], "ref": p.refs[i], "hyp": p.text[i]} for i in range(len(p.refs))]
 
     return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)])
 

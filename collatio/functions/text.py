@@ -5,6 +5,7 @@ White space is what Unicode text splitting takes for it, and is named point by p
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -29,6 +30,12 @@ PREAMBLE = r"^(here('s| is)|the (following|transcription)|transcription|transkri
 TRAILER = r"^(note|hinweis|i (have|was)|the (text|page|image)|this (page|text|image)|\*+note)\b.*"
 TAGS = r"</?(u|b|i|em|strong|s|del|sub|sup|br|p|span|div)\s*/?>"
 
+LINE_END = "\r\n?"
+CELL_EDGE = rf"{SPACE}*\|{SPACE}*"
+HYPHENATED = rf"(?<!{SPACE})(?<=[\s\S]){HYPHENS}\n"
+BRACKETED = rf"\[([^\[\]{SPACE[1:-1]}]+)\]"
+ANGLED = rf"⟨([^⟨⟩{SPACE[1:-1]}]+)⟩"
+LONG_S, SHARP_S, V_AS_U, J_AS_I = ("ſʃ", "ss"), (("ß", "ss"), ("ẞ", "SS")), ("vV", "uU"), ("jJ", "iI")
 SEPARATOR = rf"^{SPACE}*\|?{SPACE}*:?-{{2,}}:?{SPACE}*(\|{SPACE}*:?-{{2,}}:?{SPACE}*)*\|?{SPACE}*$"
 RULE = rf"^{SPACE}*([-*_]{SPACE}*){{3,}}$"
 #: Letters beyond ASCII whose decomposition holds one of the marks; derived, not listed.
@@ -36,6 +43,11 @@ MARKED = "".join(c for c in map(chr, range(0x80, 0x3000)) if any(m in unicodedat
 PERIOD_CLASS = f"[{PERIOD_GLYPHS}{PERIOD_MARKS}{MARKED}]"
 
 
+def python(pattern: str) -> re.Pattern:
+    """One of these patterns for Python's engine, which writes code points and the end of a text another way."""
+    return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern).replace(r"\z", r"\Z"))
+
+
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
@@ -57,26 +69,24 @@ def nfc(c: Column) -> Column:
 
 def line_strip(c: Column) -> Column:
     """LF line ends, and no white space around a line."""
-    return each_line(F.regexp_replace(c, "\r\n?", "\n"), strip)
+    return each_line(F.regexp_replace(c, LINE_END, "\n"), strip)
 
 
 def markdown(c: Column) -> Column:
     """Without table separator rows and rules; the pipes of a line become spaces."""
     lines = F.filter(F.split(c, "\n", -1), lambda x: ~(x.rlike(SEPARATOR) | x.rlike(RULE)))
-    return F.array_join(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("|")), strip(F.regexp_replace(x, rf"{SPACE}*\|{SPACE}*", " "))).otherwise(x)), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("|")), strip(F.regexp_replace(x, CELL_EDGE, " "))).otherwise(x)), "\n")
 
 
 def dehyphenate(c: Column) -> Column:
     """Words broken at a line end are joined."""
-    return F.regexp_replace(c, rf"(?<!{SPACE})(?<=[\s\S]){HYPHENS}\n", "")
+    return F.regexp_replace(c, HYPHENATED, "")
 
 
 def uncertainty_marks(c: Column) -> Column:
     """Marks of doubt go; a word in brackets loses them."""
     c = F.regexp_replace(c, UNCERTAIN, "")
-    not_space = SPACE[1:-1]
-    c = F.regexp_replace(c, rf"\[([^\[\]{not_space}]+)\]", "$1")
-    return F.regexp_replace(c, rf"⟨([^⟨⟩{not_space}]+)⟩", "$1")
+    return F.regexp_replace(F.regexp_replace(c, BRACKETED, "$1"), ANGLED, "$1")
 
 
 def newline_to_space(c: Column) -> Column:
@@ -94,11 +104,11 @@ def ligatures(c: Column) -> Column:
 
 
 def long_s(c: Column) -> Column:
-    return F.translate(c, "ſʃ", "ss")
+    return F.translate(c, *LONG_S)
 
 
 def sharp_s(c: Column) -> Column:
-    return _replace_all(c, (("ß", "ss"), ("ẞ", "SS")))
+    return _replace_all(c, SHARP_S)
 
 
 def combining_e(c: Column) -> Column:
@@ -111,11 +121,11 @@ def lowercase(c: Column) -> Column:
 
 
 def uv(c: Column) -> Column:
-    return F.translate(c, "vV", "uU")
+    return F.translate(c, *V_AS_U)
 
 
 def ij(c: Column) -> Column:
-    return F.translate(c, "jJ", "iI")
+    return F.translate(c, *J_AS_I)
 
 
 def whitespace(c: Column) -> Column:
@@ -142,7 +152,7 @@ def normalize(c: Column, tier: str) -> Column:
 
 def split_lines(c: Column) -> Column:
     """The stripped lines that aren't empty."""
-    lines = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n"), "\n", -1), strip)
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), LINE_END, "\n"), "\n", -1), strip)
     return F.filter(lines, lambda x: x != "")
 
 
@@ -198,7 +208,7 @@ def clean(df: DataFrame, source: str, out: str) -> DataFrame:
     def full(x: Column) -> Column:
         return x.rlike(f"[^{SPACE[1:-1]}]")
 
-    split = F.split(F.regexp_replace(F.coalesce(F.col(source), F.lit("")), "\r\n?", "\n"), "\n", -1)
+    split = F.split(F.regexp_replace(F.coalesce(F.col(source), F.lit("")), LINE_END, "\n"), "\n", -1)
     df = df.withColumn(lines, F.filter(split, lambda x: ~strip(x).rlike(FENCE)))
     df = df.withColumn(marks, _at(c, full))
     df = df.withColumn(lines, F.when(F.size(m) == 0, F.slice(c, 1, 0)).otherwise(F.slice(c, F.array_min(m) + 1, F.size(c))))

@@ -23,7 +23,8 @@ words = st.text("abc ſ", max_size=12)
 
 @given(words, words)
 def test_scripts_are_optimal(a, b):
-    ops = K.script(a, b)
+    made = K.script(a, b)
+    ops = [*(("equal", k, k) for k in range(made.head)), *made.steps, *(("equal", len(a) - made.tail + k, len(b) - made.tail + k) for k in range(made.tail))]
     assert K.distance(a, b) == table_distance(a, b) == sum(o != "equal" for o, _, _ in ops)
     assert [i for o, i, _ in ops if o != "insert"] == list(range(len(a)))
     assert [j for o, _, j in ops if o != "delete"] == list(range(len(b)))
@@ -71,7 +72,7 @@ LINES = ["erste Zeile der Seite", "zweite Zeile steht da", "dritte Zeile am Ende
 
 def kinds(refs, hyps):
     m = K.match_lines(refs, hyps)
-    return [x.kind for x in m.lines], [x.hyp for x in m.lines], m.extra
+    return m.kind, m.text, m.extra
 
 
 def test_lines():
@@ -96,6 +97,48 @@ def test_pages():
     assert none["n_punct_ref"] == own["n_punct_ref"]
 
 
+def test_a_line_within_another():
+    refs = ["Concl: Sub Consuetis clausulis", "fl.", "den 25. Januar 1739 zu Harzburg"]
+    m = K.match_lines(refs, ["Concl: Sub Consuetis clausulis fl. den 25. Januar 1739 zu Harzburg"])
+    assert sorted(m.kind) == ["match", "merged", "merged"] and m.text[1] == "fl." and m.extra == []
+    assert [K.similarity(a, b) > 0.9 for a, b in zip(refs, m.text, strict=True)] == [True] * 3
+    gathered = K.match_lines(["eine sehr lange Zeile der alten Seite Nr"], ["eine sehr lan", "ge Zeile der a", "lten Seite Nr", "ganz was?"])
+    assert gathered.kind == ["split"] and gathered.extra == [3]
+
+
+def test_long_scripts_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    a = "".join(rng.choices("abcdefgh ", k=20_000))
+    b = "".join(c for c in a if rng.random() > 0.02)
+    tracemalloc.start()
+    s = K.script(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s.count("delete") - s.count("insert") == len(a) - len(b) and peak < 16 << 20  # the whole table would take 50 MB
+
+
+def plain_partial_ratio(needle, hay):
+    """Every window, the shared subsequence by the table."""
+    best, n = (0.0, 0, 0), len(needle)
+    for at in range(1 - n, len(hay)):
+        lo, hi = max(0, at), min(len(hay), at + n)
+        row = [0] * (n + 1)
+        for c in hay[lo:hi]:
+            row = [0, *itertools.accumulate(range(n), lambda last, i, row=row, c=c: max(last, row[i + 1], row[i] + (needle[i] == c)), initial=0)][1:]
+        score = 2 * row[-1] / (n + hi - lo)
+        best = max(best, (score, -lo, -hi), key=lambda x: x[0]) if score > best[0] else best
+    return best[0], -best[1], -best[2]
+
+
+def test_windows_left_out_cannot_win():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = "".join(rng.choices("ab c", k=rng.randint(1, 7))), "".join(rng.choices("ab c", k=rng.randint(1, 16)))
+        assert K.partial_ratio(a, b) == plain_partial_ratio(a, b)
+
+
 def test_partial_ratio():
     assert K.partial_ratio("abc", "xxabcxx") == (1.0, 2, 5)
     random.seed(0)
