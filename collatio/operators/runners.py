@@ -6,6 +6,7 @@ where it has them. The dict holds what a prediction's fields hold. What is calle
 
 from __future__ import annotations
 
+import importlib
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -19,6 +20,25 @@ FIELDS = "page_id string, text string, latency_s double, tokens_in bigint, token
 ATTEMPTS, LONGEST = 5, 60.0
 
 
+#: Recognisers by name: the module and the class in it. A module is imported when its recogniser is made, so what it needs stays optional.
+REGISTRY: dict[str, tuple[str, str]] = {}
+
+
+def register(name: str, module: str, attribute: str) -> None:
+    REGISTRY[name] = module, attribute
+
+
+def make(systems: dict[str, dict], system_id: str, params: dict | None = None):
+    """The recogniser of a configured system."""
+    if system_id not in systems:
+        raise KeyError(f"unknown system {system_id!r}; known: {', '.join(systems)}")
+    spec = systems[system_id]
+    if spec["runner"] not in REGISTRY:
+        raise KeyError(f"unknown runner {spec['runner']!r}; known: {', '.join(REGISTRY)}")
+    module, attribute = REGISTRY[spec["runner"]]
+    return getattr(importlib.import_module(module), attribute)(spec, params)
+
+
 class Refused(Exception):
     """The recogniser won't read the page; calling again would not help."""
 

@@ -37,5 +37,5 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-for _module in ("text_queries", "fact_queries"):
+for _module in ("text_queries", "fact_queries", "table_queries", "source_queries"):
     importlib.import_module(f"{__package__}.{_module}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from .. import schema as C
 from ..functions import rates as R
 from ..operators import bootstrap, facts, judging, profile
 from ..sources import pagexml
+from ..sources.scratch import new_path
 from ..streaming import log as stream
 from . import sql as Q
 from .catalog import query, table
@@ -56,11 +55,8 @@ def stream_hourly_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for a stream's state: in the shared folder; a temporary one only where none is set."""
-    import uuid
-
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='collatio-')}"
-    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder that all executors share."""
+    return new_path(spark, "stream")
 
 
 @query("known_pages", "SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
@@ -132,7 +128,7 @@ _TOKENS = "CAST(l_quantity AS BIGINT) * 100 AS tin, CAST(l_extendedprice AS BIGI
 def cost_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a call, its part as the model's price."""
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"), "left")  # a call without a known price stays, with none
     usd = profile.cost_usd(F.round("l_quantity").cast("long") * 100, F.bround("l_extendedprice").cast("long"), c("l_linenumber") * 10, c("p_retailprice") / 1000, c("p_retailprice") / 100, F.when(c("p_size") > 25, c("p_retailprice") / 50))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", usd.alias("usd"))
 
@@ -367,7 +363,9 @@ def sample_of_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("system_id", "corpus", "page_id", "line_idx", "ref", "hyp", "context_before", "context_after", "place")
 
 
-@query("integrity")
+@query("integrity", f"""WITH f AS ({_FACTS_SQL}), m AS (SELECT l_returnflag AS system, avg(CAST(l_linenumber % 3 = 1 AS DOUBLE)) AS misleading FROM lineitem GROUP BY 1),
+g AS (SELECT system, corpus, sum(num_kept) AS nk, sum(n_num_ref) AS nr, sum(n_num_hyp) AS nh FROM f GROUP BY GROUPING SETS ((system), (system, corpus))), r AS (SELECT system, corpus, {Q.f1('nk', 'nr', 'nh')} AS numeral_f1 FROM g)
+SELECT system, corpus, numeral_f1, CASE WHEN corpus IS NULL THEN (1 - misleading + numeral_f1) / 2 ELSE numeral_f1 END AS integrity FROM r JOIN m USING (system)""")
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rates of `profile_grouping_sets` with integrity; every third line number is a misleading verdict."""
     misleading = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("system")).agg(F.avg((F.col("l_linenumber") % 3 == 1).cast("double")).alias("misleading"))
@@ -375,7 +373,8 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.with_integrity(scores, misleading, "system").select("system", "corpus", "numeral_f1", "integrity")
 
 
-@query("full_coverage")
+@query("full_coverage", """WITH p AS (SELECT user_id % 4 AS corpus, event_type AS system_id, user_id FROM events), c AS (SELECT corpus, count(DISTINCT user_id) AS n_pages FROM p GROUP BY 1)
+SELECT corpus, system_id, n_pages FROM (SELECT corpus, system_id, count(DISTINCT user_id) AS n_pages FROM p GROUP BY ALL) JOIN c USING (corpus, n_pages)""")
 def full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of events that all users of a corpus have."""
     pages = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("corpus"), F.col("event_type").alias("system_id"), "user_id")
@@ -383,7 +382,7 @@ def full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.full_coverage(pages.groupBy("corpus", "system_id").agg(F.count_distinct("user_id").alias("n_pages")), corpora)
 
 
-@query("corpus_years")
+@query("corpus_years", """SELECT o_orderpriority AS corpus, CAST(1992 AS INTEGER) AS "from", CAST(1998 AS INTEGER) AS "to", CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(year(o_orderdate)) AS INTEGER) AS last, min(year(o_orderdate)) >= 1992 AND max(year(o_orderdate)) <= 1998 AS ok FROM orders GROUP BY 1""")
 def corpus_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages, their priority as the corpus, against a printed range."""
     found = profile.years(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("corpus"), F.year("o_orderdate").alias("year")))
@@ -406,14 +405,15 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k bigint")["k"]).alias("total"))
 
 
-@query("xml_lines")
+@query("xml_lines", """SELECT item_id, CAST(0 AS INTEGER) AS line_idx, 'b' AS region, 'l2' AS line, CAST(3 AS INTEGER) AS n_points, CAST(30 AS INTEGER) AS x1, md5('second ' || regexp_replace(text, '[<&]', '', 'g')) AS md5 FROM benchmark
+UNION ALL SELECT item_id, 1, 'a', 'l1', 3, 30, md5(regexp_replace(text, '[<&]', '', 'g')) FROM benchmark""")
 def xml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item as a page of two regions, the second of which is read first."""
     def line(name: str, text) -> list:
         return [F.lit(f'<TextLine id="{name}"><Coords points="1,2 30.7,2 x 30,40"/><TextEquiv index="1"><Unicode>no</Unicode></TextEquiv><TextEquiv index="0"><Unicode>'), F.regexp_replace(text, "[<&]", ""), F.lit("</Unicode></TextEquiv></TextLine>")]
 
     order = '<ReadingOrder><OrderedGroup><RegionRefIndexed index="1" regionRef="a"/><RegionRefIndexed index="0" regionRef="b"/></OrderedGroup></ReadingOrder>'
-    xml = F.concat(F.lit(f'<PcGts xmlns="urn:page"><Page imageFilename="p.jpg" imageWidth="1000" imageHeight="2000">{order}<TextRegion id="a">'), *line("l1", F.col("text")), F.lit('</TextRegion><TextRegion id="b">'), *line("l2", F.upper("text")), F.lit("</TextRegion></Page></PcGts>"))
+    xml = F.concat(F.lit(f'<PcGts xmlns="urn:page"><Page imageFilename="p.jpg" imageWidth="1000" imageHeight="2000">{order}<TextRegion id="a">'), *line("l1", F.col("text")), F.lit('</TextRegion><TextRegion id="b">'), *line("l2", F.concat(F.lit("second "), "text")), F.lit("</TextRegion></Page></PcGts>"))
     rows = pagexml.lines(table(spark, sf_dir, "benchmark").select("item_id", xml.alias("xml")))
     return rows.select("item_id", "line_idx", "region", "line", F.size("polygon").alias("n_points"), pagexml.box(F.col("polygon"))["x1"].alias("x1"), F.md5("text").alias("md5"))
 

@@ -12,6 +12,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import put
+
+
+def write(files: DataFrame, folder: str) -> DataFrame:
+    """Zip files (archive, name, content) into one archive for each `archive`, members by name; returns (archive, members, length).
+
+    An archive is made by one task, so its members must fit one. It is there whole or not at all.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t, out = t.sort_by("name"), io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in zip(t["name"].to_pylist(), t["content"].to_pylist(), strict=True):
+                z.writestr(zipfile.ZipInfo(name), content, zipfile.ZIP_DEFLATED)
+        archive = t["archive"][0].as_py()
+        put(f"{folder}/{archive}", out.getvalue())
+        return pa.table({"archive": [archive], "members": [t.num_rows], "length": [out.tell()]})
+
+    rows = files.select("archive", "name", F.col("content").cast("binary").alias("content")).groupBy("archive").applyInArrow(run, "archive string, members bigint, length bigint").collect()
+    return files.sparkSession.createDataFrame(rows, "archive string, members bigint, length bigint")
+
+
+def pack(spark: SparkSession, folder: str, out: str, archive: str) -> DataFrame:
+    """A release: every file under a folder and SHA256SUMS, their checksums by name, in one archive; returns (name, sha256, length)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), F.lit("/" + folder.split(":")[-1].strip("/") + "/"), F.lit(""))
+    rows = files.select(name.alias("name"), "content", F.sha2("content", 256).alias("sha256"), "length")
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("\t"), "sha256"))), "\n")
+    sums = rows.agg(F.concat(F.regexp_replace(listed, r"([^\t\n]*)\t([0-9a-f]+)", "$2  $1"), F.lit("\n")).alias("c")).select(F.lit("SHA256SUMS").alias("name"), F.encode("c", "UTF-8").alias("content"))
+    write(rows.select("name", "content").unionByName(sums).withColumn("archive", F.lit(archive)), out)
+    return rows.drop("content")
+
 
 def members(spark: SparkSession, pattern: str, suffix: str = "") -> DataFrame:
     """(archive, name, content) of the members of all zip files under a path, by name; a file is read by one task."""

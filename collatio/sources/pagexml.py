@@ -107,3 +107,28 @@ def page_id(stem: Column, image_stem: Column, known: Column) -> Column:
     bare = lambda c: F.regexp_replace(c, r"^\d{3,5}_", "")
     options = F.array(stem, image_stem, bare(stem), bare(image_stem))
     return F.get(F.filter(options, lambda x: F.array_contains(known, x)), F.lit(0))
+
+
+def imported(layouts: DataFrame, known: DataFrame, model_id: str, wall_s: float | None = None, credits_used: float | None = None, pages_run: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions (page_id, text, text_raw, error, latency_s) from a recogniser's export, and how they came about, in one row.
+
+    layouts: path, xml. known: page_id. A page is that of the first layout, by path, whose file or image is named after it; layouts that
+    another model wrote last are left out. Seconds and credits are split over the pages that were run, which may be more than are imported.
+    """
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "[/!]"), -1), "[.][^.]*$", "")
+    bare = lambda c: F.regexp_replace(c, r"^\d{3,5}_", "")
+    rows = layouts.select("path", parse(F.col("xml")).alias("p")).where("p.lines is not null")
+    options = F.array(stem("path"), stem("p.image"), bare(stem("path")), bare(stem("p.image")))
+    rows = rows.select("path", "p", F.posexplode(options).alias("nth", "page_id")).join(known.select("page_id").distinct(), "page_id")
+    rows = rows.groupBy("path").agg(F.min_by(F.struct("page_id", "p"), "nth").alias("r")).select("path", "r.*")
+    drawn = F.filter("p.lines", lambda x: F.size(points(x["points"])) > 0)
+    rows = rows.withColumn("text", F.array_join(F.transform(drawn, lambda x: x["text"]), "\n")).withColumn("model", F.nullif(F.regexp_extract(F.coalesce("p.creator", F.lit("")), r"model_id=(\d+)", 1), F.lit("")))
+    rows = rows.withColumn("other", F.coalesce(F.col("model") != model_id, F.lit(False)))
+    own = rows.where("not other").groupBy("page_id").agg(F.min_by("text", "path").alias("text"))
+    n = own.agg(F.count("*").alias("n_pages"))
+    run = n.withColumn("pages_run", F.lit(pages_run).cast("long") if pages_run else F.col("n_pages"))
+    each = lambda total: F.lit(total).cast("double") / F.nullif(F.col("pages_run"), F.lit(0))
+    meta = run.select("n_pages", "pages_run", F.lit(wall_s).cast("double").alias("wall_s_total"), F.lit(credits_used).cast("double").alias("credits_used"), each(credits_used).alias("credits_per_page"), each(wall_s).alias("latency_s"))
+    blank = F.regexp_replace("text", r"\s", "") == ""
+    made = own.crossJoin(F.broadcast(meta.select("latency_s")))  # one row
+    return made.select("page_id", "text", F.col("text").alias("text_raw"), F.when(blank, "empty").alias("error"), "latency_s"), meta.drop("latency_s")

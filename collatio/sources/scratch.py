@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -43,3 +44,18 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
     if path is not None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI (file, hdfs or an object store), and the path in it."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def put(uri: str, content: bytes) -> None:
+    """A file that is there whole or not at all: written under another name first."""
+    fs, path = file_system(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as f:
+        f.write(content)
+    fs.move(part, path)
