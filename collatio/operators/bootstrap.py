@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .facts import numbered
+
 RESAMPLES, ALPHA = 1000, 0.05
 #: Draws that are held at once.
 DRAWS = 1 << 21
@@ -74,12 +76,15 @@ def poisson(facts: DataFrame, keys: list[str], num: str, den: str, row: str, n:
 
 
 def indexed(facts: DataFrame, keys: list[str], num: str, den: str, order: str, n: int, a: int = 7919, b: int = 104729, alpha: float = ALPHA) -> DataFrame:
-    """The interval with draws that SQL can repeat: resample r takes row (r * a + i * b + r * i) mod N in its i-th draw."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    rows = facts.withColumns({"i": F.row_number().over(w.orderBy(order)) - 1, "rows": F.count("*").over(w)})
-    draws = rows.select(*keys, "rows", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
-    draws = draws.withColumn("i", F.pmod(F.col("rep").cast("long") * a + F.col("draw").cast("long") * b + F.col("rep").cast("long") * F.col("draw"), F.col("rows")).cast("int"))
-    sums = draws.join(rows.select(*keys, "i", num, den), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum(num) / F.nullif(F.sum(den), F.lit(0))).alias("rate"))
+    """The interval with draws that SQL can repeat: resample r takes row (r * a + i * b + r * i) mod N in its i-th draw.
+
+    Drawn this way a row comes g times or never, g being the common divisor of b + r and N: it comes if g divides its number less r * a. So
+    nothing is drawn or joined; each row is counted as often as it comes, and summed map-side.
+    """
+    rows = numbered(facts, keys, [F.col(order)], "i")
+    sizes = facts.groupBy(*keys).agg(F.count("*").alias("rows")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    gcd = F.pandas_udf(lambda x, y: pd.Series(np.gcd(x.to_numpy(np.int64), y.to_numpy(np.int64))), "bigint")
+    times = sizes.select(*keys, F.struct("rep", gcd(F.col("rep") + b, F.col("rows")).alias("g")).alias("r")).groupBy(*keys).agg(F.collect_list("r").alias("reps"))
+    drawn = rows.join(F.broadcast(times), keys).select(*keys, "i", num, den, F.explode("reps").alias("r")).where((F.col("i") - F.col("r.rep") * a) % F.col("r.g") == 0)  # n numbers a system
+    sums = drawn.groupBy(*keys, F.col("r.rep").alias("rep")).agg((F.sum(F.col(num) * F.col("r.g")) / F.nullif(F.sum(F.col(den) * F.col("r.g")), F.lit(0))).alias("rate"))
     return sums.groupBy(*keys).agg(F.percentile("rate", F.lit(alpha / 2)).alias("lo"), F.percentile("rate", F.lit(1 - alpha / 2)).alias("hi"))

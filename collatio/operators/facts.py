@@ -17,6 +17,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """df with row numbers from 0 within each key, by order, which must decide.
+
+    For keys with many rows: a window would sort all of a key's in one task. Rows are sorted by ranges of (key, order) instead, and written;
+    a row's number is its place in its part and key, and how many rows of the key the parts before hold: a table of a row or two a part.
+    """
+    place, part, first, n, before = (f"{name}__{x}" for x in ("place", "part", "first", "n", "before"))
+    by = [*(F.col(k) for k in keys), *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = cut(rows.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}), "numbered")
+    held = rows.groupBy(*keys, part).agg(F.min(place).alias(first), F.count("*").alias(n))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    out = rows.join(held, [*keys, part])
+    return out.withColumn(name, F.col(place) - F.col(first) + F.col(before)).select(*df.columns, name)
+
+
 def last_success(log: DataFrame, keys: list[str], seq: str, error: Column) -> DataFrame:
     """One record a key: the last without an error; without any, the first with one.
 

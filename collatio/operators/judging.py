@@ -58,19 +58,28 @@ def kappa(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def table(judged: DataFrame) -> DataFrame:
     """For each system what the first pass found per 100 words and its verdicts' shares, the misleading share of both passes, and kappa.
 
-    Spans are summed before they are joined, so lines with several don't count their words twice.
+    judged: one record for each system, page, line and pass. One pass over it: a line's records are put together, and all else is
+    sums over lines. Verdicts are on the closed list, so kappa's margins are sums too.
     """
-    first = judged.where("pass_idx = 0")
-    words = first.groupBy("system_id").agg(
-        F.count("*").alias("n_lines"), F.sum(F.size(T.tokens(F.col("ref")))).alias("n_ref_words"), *(F.avg((F.col("verdict") == v).cast("double")).alias(f"share_{v}") for v in C.VERDICTS)
-    )
-    spans = first.select("system_id", F.explode("spans.type").alias("type")).groupBy("system_id").agg(*(F.count_if(F.col("type") == t).alias(t) for t in C.SPAN_TYPES))
-    both = judged.groupBy("system_id").agg(F.avg((F.col("verdict") == "misleading").cast("double")).alias("share_misleading_both_passes"))
-    second = judged.where("pass_idx = 1").select("system_id", "page_id", "line_idx", F.col("verdict").alias("other"))
-    agreed = kappa(first.join(second, ["system_id", "page_id", "line_idx"]), ["system_id"], "verdict", "other")
-    out = words.join(spans, "system_id", "left").join(both, "system_id").join(agreed.select("system_id", F.col("kappa").alias("kappa_verdict")), "system_id", "left")
-    rates = [R.ratio(100.0 * F.coalesce(F.col(t), F.lit(0)), F.col("n_ref_words")).alias(f"{t}_per_100w") for t in C.SPAN_TYPES]
-    return out.select("system_id", "n_lines", "n_ref_words", *rates, *(f"share_{v}" for v in C.VERDICTS), "share_misleading_both_passes", "kappa_verdict")
+    c, first = F.col, F.col("pass_idx") == 0
+    types = [F.when(first, F.size(F.filter("spans.type", F.lit(t).__eq__))).otherwise(0).alias(t) for t in C.SPAN_TYPES]
+    rows = judged.select("system_id", "page_id", "line_idx", "pass_idx", "verdict", F.when(first, F.size(T.tokens(c("ref")))).alias("words"), *types)
+    lines = rows.groupBy("system_id", "page_id", "line_idx").agg(
+        F.max(F.when(first, c("verdict"))).alias("a"), F.max(F.when(c("pass_idx") == 1, c("verdict"))).alias("b"), F.count_if(first).alias("firsts"), F.sum("words").alias("words"),
+        F.count("verdict").alias("n"), F.count_if(c("verdict") == "misleading").alias("misleading"), *(F.sum(t).alias(t) for t in C.SPAN_TYPES),
+    )
+    both = c("a").isNotNull() & c("b").isNotNull()
+    sums = lines.groupBy("system_id").agg(
+        F.sum("firsts").alias("n_lines"), F.sum("words").alias("n_ref_words"), F.sum("n").alias("n"), F.sum("misleading").alias("misleading"), *(F.sum(t).alias(t) for t in C.SPAN_TYPES),
+        F.count_if(c("a").isNotNull()).alias("n_a"), *(F.count_if(c("a") == v).alias(f"a_{v}") for v in C.VERDICTS),
+        F.count_if(both).alias("pairs"), F.count_if(both & (c("a") == c("b"))).alias("same"), *(F.count_if(both & (c(s) == v)).alias(f"{s}{s}_{v}") for s in "ab" for v in C.VERDICTS),
+    )
+    pairs = F.nullif(c("pairs").cast("double"), F.lit(0.0))
+    observed, expected = c("same") / pairs, sum((c(f"aa_{v}") * c(f"bb_{v}") for v in C.VERDICTS), F.lit(0)) / (pairs * pairs)
+    agreed = F.when(expected < 1, (observed - expected) / F.nullif(1 - expected, F.lit(0.0))).when(c("pairs") > 0, 1.0)
+    per_words = [R.ratio(100.0 * c(t), c("n_ref_words")).alias(f"{t}_per_100w") for t in C.SPAN_TYPES]
+    shares = [R.ratio(c(f"a_{v}").cast("double"), c("n_a")).alias(f"share_{v}") for v in C.VERDICTS]
+    return sums.where("n_lines > 0").select("system_id", "n_lines", "n_ref_words", *per_words, *shares, R.ratio(c("misleading").cast("double"), c("n")).alias("share_misleading_both_passes"), agreed.alias("kappa_verdict"))
 
 
 def candidates(pages: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -93,11 +102,13 @@ def sample(candidates: DataFrame, corpus: str, system: str, line: list[str], per
     """Each system's first lines in one shared order: in every corpus lines of more systems first, then by `order`; corpora in turn.
 
     candidates: a row for each system and line. Lines are ranked within their corpus and dealt by (rank, corpus).
+    The planner keeps only the first per_system rows of each task's share of a system before they are gathered.
     """
     lines = candidates.groupBy(corpus, *line).agg(F.count_distinct(system).alias("n_systems")).withColumn("o", order)
-    turn = lines.withColumn("turn", F.row_number().over(Window.partitionBy(corpus).orderBy(F.desc("n_systems"), "o", *line)))
+    turn = facts.numbered(lines, [corpus], [F.desc("n_systems"), F.col("o"), *map(F.col, line)], "turn")
     own = candidates.join(turn.select(corpus, *line, "turn"), [corpus, *line])
-    return own.withColumn("place", F.row_number().over(Window.partitionBy(system).orderBy("turn", corpus, *line))).where(F.col("place") <= per_system)
+    rank = Window.partitionBy(system).orderBy("turn", corpus, *line)
+    return own.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= per_system)
 
 
 def prompt(template: str, ref: Column, hyp: Column, before: Column, after: Column, language: Column, genre: Column) -> Column:

@@ -13,7 +13,7 @@ from ..sources.scratch import new_path
 from ..streaming import log as stream
 from . import sql as Q
 from .catalog import query, table
-from .text_queries import readings, scored
+from .text_queries import once, readings, scored
 
 def _error():
     return F.col("event_type") == "error"
@@ -230,8 +230,7 @@ def corpora_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 event_type || '__r' || CAST(row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS VARCHAR) AS run_id FROM events GROUP BY event_type, user_id""")
 def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _events(spark, sf_dir).groupBy("event_type", "user_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("value") > 100).alias("n_failed"), F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"))
-    idx = F.row_number().over(Window.partitionBy("event_type").orderBy("user_id")) - 1
-    return runs.withColumn("run_idx", idx).withColumn("run_id", F.concat("event_type", F.lit("__r"), F.col("run_idx").cast("string")))
+    return facts.numbered(runs, ["event_type"], [F.col("user_id")], "run_idx").withColumn("run_idx", F.col("run_idx").cast("int")).withColumn("run_id", F.concat("event_type", F.lit("__r"), F.col("run_idx").cast("string")))
 
 
 @query("extremes", """WITH t AS (SELECT c_mktsegment AS name, avg(c_acctbal) AS balance, count(*) AS n, max(c_custkey) AS last FROM customer GROUP BY 1),
@@ -313,7 +312,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("parse_verdicts", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'number_error' WHEN 1 THEN 'garble' WHEN 2 THEN 'name_error' ELSE 'garble' END AS type, CAST(least(2, event_id % 7) AS INTEGER) AS severity,
 CASE event_id % 3 WHEN 0 THEN 'usable' WHEN 1 THEN 'misleading' ELSE 'needs_correction' END AS verdict, event_type AS note FROM events""")
 def parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir).select("event_id", judging.parse(F.col("raw")).alias("p"))
+    rows = _judged(spark, sf_dir).select("event_id", once(judging.parse(F.col("raw"))).alias("p"))
     return rows.select("event_id", F.col("p.spans")[0]["type"].alias("type"), F.col("p.spans")[0]["severity"].alias("severity"), "p.verdict", "p.note")
 
 
@@ -331,7 +330,7 @@ k AS (SELECT system_id, (o - c / (CAST(n AS DOUBLE) * n)) / (1 - c / (CAST(n AS
 SELECT j.system_id, count(*) FILTER (pass_idx = 0) AS n_lines, CAST(sum(CASE WHEN pass_idx = 0 THEN words END) AS BIGINT) AS n_ref_words, {_RATES}, {_SHARES}, avg(CAST(verdict = 'misleading' AS DOUBLE)) AS share_misleading_both_passes, any_value(kappa_verdict) AS kappa_verdict FROM j JOIN k USING (system_id) GROUP BY j.system_id""")
 def judge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("system_id", "page_id").orderBy("event_id")) - 1
-    rows = _judged(spark, sf_dir).withColumns({"k": k, "ref": F.repeat(F.lit("w "), (F.col("event_id") % 5 + 1).cast("int")), "p": judging.parse(F.col("raw"))})
+    rows = _judged(spark, sf_dir).withColumns({"k": k, "ref": F.repeat(F.lit("w "), (F.col("event_id") % 5 + 1).cast("int"))}).select("*", once(judging.parse(F.col("raw"))).alias("p"))
     return judging.table(rows.select("system_id", "page_id", (F.col("k") / 2).cast("int").alias("line_idx"), (F.col("k") % 2).alias("pass_idx"), "ref", "p.verdict", "p.spans"))
 
 

@@ -12,7 +12,7 @@ from ..sources import archives, bundles, pagexml, records
 from ..sources.scratch import file_system, new_path, put
 from .catalog import query, table
 
-_EVENT = T.StructType.fromDDL("event_id bigint, user_id bigint, event_type string, value double, ts string")
+_EVENT = T.StructType([T.StructField(n, t()) for n, t in (("event_id", T.LongType), ("user_id", T.LongType), ("event_type", T.StringType), ("value", T.DoubleType), ("ts", T.StringType))])
 
 
 @query("jsonl_round_trip", "SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events")
