@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import file_system as _fs
 from ._store import cut, new_path
 
 #: Bytes of records after which a task starts its next archive.
@@ -25,11 +26,6 @@ DATE = "2000-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI in the shared folder: file, hdfs or an object store."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def roles(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest, record_type and refers_to.
 
