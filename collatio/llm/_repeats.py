@@ -12,6 +12,8 @@ passage nor a hot document gathers in one task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -24,23 +26,40 @@ BLOCK = "bucket int, chunk int, block binary"
 MARKS = "chunk int, bucket int, other binary, earlier binary"
 #: Points of the quantile sketch that chunk borders are interpolated between; bounds its size.
 POINTS = 128
+#: Bytes of text to a chunk at most, on average: a chunk is what a task holds, with some ten times as much of temporaries for a part of it.
+CHUNK_BYTES = 64 << 20
+
+
+@dataclass
+class Layout:
+    """How documents are dealt: quantiles of their ids, and how many chunks and buckets there are."""
 
+    knots: list[int]
+    chunks: int
+    buckets: int
 
-def knots(docs: DataFrame, id_col: str = "doc_id") -> list[int]:
-    """Quantiles of the ids. A sketch depends on the order in which tasks end, so it is taken once and handed to every `chunked`."""
-    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / POINTS for i in range(POINTS + 1)], 10_000).alias("q")).first()
+
+def layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Layout:
+    """Two chunks and a bucket for each shuffle partition of the session, more where a chunk would pass CHUNK_BYTES of text.
+
+    A sketch of quantiles depends on the order in which tasks end, so it is taken once and handed to every `chunked`.
+    """
+    points = F.percentile_approx(F.col(id_col).cast("long"), [i / POINTS for i in range(POINTS + 1)], 10_000)
+    got = docs.agg(points.alias("q"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("size")).first()
     out = sorted(set(got["q"] or [0]))
-    return [*out, out[-1] + 1]
+    least = -(-got["size"] // CHUNK_BYTES)
+    n = width(docs.sparkSession)
+    return Layout([*out, out[-1] + 1], max(2 * n, least), max(n, -(-least // 2)))
 
 
-def chunked(docs: DataFrame, chunks: int, knots: list[int], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def chunked(docs: DataFrame, plan: Layout, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """docs as (chunk, doc_id, text[, row]), dealt by chunk; row holds the other columns in a struct.
 
-    The chunk is a monotone function of doc_id: between two knots it is interpolated, so any distribution of ids
-    gives even chunks, and the same knots give the same chunks. Rows with a null doc_id, which are compared
+    The chunk is a monotone function of doc_id: between two knots it is interpolated, so chunks are even, by rows, where ids are spread
+    evenly between quantiles, and the same knots give the same chunks. Rows of one id are one chunk's. Rows with a null doc_id, which are compared
     with nothing, go in turn to the chunks below 0.
     """
-    n = len(knots) - 1
+    knots, chunks, n = plan.knots, plan.chunks, len(plan.knots) - 1
     lo, x = F.array(*map(F.lit, knots)), F.col(id_col)
     place = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.size(F.filter(lo, lambda b: b <= x)) - 1))
     a, b = F.element_at(lo, place + 1), F.element_at(lo, place + 2)
@@ -51,7 +70,7 @@ def chunked(docs: DataFrame, chunks: int, knots: list[int], id_col: str = "doc_i
     if carry:
         rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
         cols.append((F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))).alias("row"))
-    return docs.select(*cols).repartition(width(docs.sparkSession), "chunk")
+    return docs.select(*cols).repartition(max(width(docs.sparkSession), -(-chunks // 2)), "chunk")
 
 
 def encode(u: np.ndarray) -> bytes:

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._store import cut, width
+from ._store import cut, drop, width
 
 THRESHOLD = 0.98
 #: Vectors that the cells' centres are fitted on, chosen by a hash of their ids; every vector is dealt and compared.
 SAMPLE = 20_000
-#: Distinct vectors to a cell, about; and centres over all labels, which bounds what is broadcast.
+#: Distinct vectors to a cell, about; and centres over all labels, which bounds what is broadcast. With more than CELL * CENTRES distinct
+#: vectors cells grow, and products with them, while results stay whole.
 CELL, CENTRES = 1500, 4096
 #: Vectors to a side of a block of products.
 SIDE = 1024
@@ -158,6 +159,8 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     comp = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = classes.join(linked, classes["rep"] == linked["id"], "left").drop("id").join(comp, F.col("rep") == comp["id"], "left")
     per = cut(per.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c")), "op4-per-class")
+    for done in (reps, dealt, sizes, found):
+        drop(spark, done)
     out = good.select("id", *keys).join(per, keys).select("id", "n", "c").unionByName(base.where("not whole").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("c")))
     return out.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import _hashing as H
 from . import _repeats as R
 from ._components import components
-from ._store import cut, release, width
+from ._store import cut, drop, release, width
 
 WORDS, PERCENT = 4, 85
 #: Bytes of text hashed at once, and posting entries that a task merges before it sends them.
@@ -114,26 +114,21 @@ def _reduce(h: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, p
     return (h[at], low[at], np.maximum.reduceat(high, at), root), np.unique(edges, axis=0) if len(edges) else edges
 
 
-def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def sets(docs: DataFrame, marks: DataFrame, plan: R.Layout, words: int, percent: int) -> DataFrame:
     """Every document's set: its size and signature; and, if it can link at all, its rarest shingles and its members.
 
-    The exchange of `_repeats` tells each chunk in how many chunks each of its shingles occurs. That number, by its
+    The exchange of `_repeats`, whose answers `marks` holds, tells each chunk in how many chunks each of its shingles occurs. That number, by its
     logarithm, orders shingles from rare to frequent, alike for all documents. A document whose shingles are not nearly all
     found in another one, T of them at least, links with nothing and sends nothing more; nor do copies of a set within a
     chunk, but for the first.
     """
-    chunks, buckets = 2 * width(docs.sparkSession), width(docs.sparkSession)
-    knots = R.knots(docs)
-    marks = _levels(docs, words, chunks, buckets, knots)
-    release(docs.sparkSession)
-
     def describe(t: pa.Table, marks: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({c: pa.array([]) for c in ("doc_id", "n", "a", "b", "prefix", "members")})
         t = R.in_order(t)
         ids, lots = t["doc_id"].to_pylist(), list(_lots(R.texts(t), words))
         u, count = np.unique(np.concatenate([x[2] for x in lots]), return_counts=True)
-        level = R.levels_of(u, marks, buckets)
+        level = R.levels_of(u, marks, plan.buckets)
         shared = (level > 0) | (count > 1)
         out: list[tuple] = []
         seen = set()
@@ -153,17 +148,17 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n", "a", "b", "prefix", "members"])
 
-    base = R.chunked(docs, chunks, knots)
+    base = R.chunked(docs, plan)
     return base.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(describe, SETS)
 
 
-def _levels(docs: DataFrame, words: int, chunks: int, buckets: int, knots: list[int]) -> DataFrame:
+def _levels(docs: DataFrame, words: int, plan: R.Layout) -> DataFrame:
     def emit(t: pa.Table) -> pa.Table:
         chunk = t["chunk"][0].as_py()
         parts = [h for _, _, h, _ in _lots(R.texts(t), words)] if chunk >= 0 else []
-        return R.blocks(chunk, np.unique(np.concatenate([np.zeros(0, np.uint64), *parts])), buckets)
+        return R.blocks(chunk, np.unique(np.concatenate([np.zeros(0, np.uint64), *parts])), plan.buckets)
 
-    return cut(R.levels(R.chunked(docs, chunks, knots).groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op5-levels")
+    return cut(R.levels(R.chunked(docs, plan).groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op5-levels")
 
 
 def candidates(described: DataFrame, percent: int) -> DataFrame:
@@ -342,8 +337,12 @@ def near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = cut(sets(base, words, percent), "op5-sets")
+    plan = R.layout(base)
+    marks = _levels(base, words, plan)
+    release(spark)
+    described = cut(sets(base, marks, plan, words, percent), "op5-sets")
     release(spark)
+    drop(spark, marks)
     known = described.where("doc_id is not null").select("doc_id", "n", "a", "b")
     keys = ["n", "a", "b"]
     classes = cut(known.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "op5-classes")
@@ -351,9 +350,11 @@ def near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     several = known.groupBy("doc_id").agg(F.min(same).alias("x"), F.max(same).alias("y")).where("x <> y").select("doc_id")
     several = cut(known.join(several, "doc_id").distinct().join(classes, keys).select("doc_id", "rep"), "op5-several")  # ids of rows with different texts
     ties = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = components(cut(candidates(described, percent), "op5-edges"))
+    clusters = components(edges := cut(candidates(described, percent), "op5-edges"))
+    drop(spark, edges)
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("doc_id"), "cluster")
-    comp = components(cut(links(described, members, percent).unionByName(ties), "op5-forest"))
+    comp = components(forest := cut(links(described, members, percent).unionByName(ties), "op5-forest"))
+    drop(spark, forest)
     per = cut(classes.join(comp, classes["rep"] == comp["id"], "left").select(*keys, F.coalesce("component", "rep").alias("c")), "op5-per-class")
     whole = several.join(comp, several["rep"] == comp["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("own"))
     out = known.join(per, keys, "left").join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "c", "doc_id").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import cut, spread
+from ._store import cut, drop, spread
 from ._tokens import default_path, tokens
 
 CAPACITY = 2048
@@ -120,6 +120,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         got = dealt.groupBy("lot").applyInArrow(_packer(capacity, turn, again if lots > 1 else 0.0), f"{NUMBERED}, sequence_id bigint, offset bigint, open boolean")
         if lots > 1:
             got = cut(got, "op3-packed")
+            if not turn:
+                drop(docs.sparkSession, left)
         done = got.where("not open").select(*left.columns[:5], "sequence_id", "offset")
         out = done if out is None else out.unionByName(done)
         if lots == 1:

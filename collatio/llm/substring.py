@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import _hashing as H
 from . import _repeats as R
-from ._store import cut, release, width
+from ._store import cut, release
 
 WINDOW = 13
 
@@ -27,15 +27,15 @@ def _windows(t: pa.Table, window: int):
     return t, texts, ids, first, h, at
 
 
-def _marks(docs: DataFrame, window: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
+def _marks(docs: DataFrame, window: int, plan: R.Layout, id_col: str, text_col: str) -> DataFrame:
     """For each chunk which of its windows an earlier chunk has. A function of its own, so that nothing holds its shuffles."""
 
     def emit(t: pa.Table) -> pa.Table:
         chunk = t["chunk"][0].as_py()
         _, _, _, _, h, _ = _windows(t, window)
-        return R.blocks(chunk, np.unique(h) if chunk >= 0 else h[:0], buckets)
+        return R.blocks(chunk, np.unique(h) if chunk >= 0 else h[:0], plan.buckets)
 
-    base = R.chunked(docs, chunks, knots, id_col, text_col)
+    base = R.chunked(docs, plan, id_col, text_col)
     return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op1-marks")
 
 
@@ -51,13 +51,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, squeeze: bool = True,
     joined by one space; without `squeeze` a text that loses nothing stays as it is, null or not) and row (a struct of all other input columns, so names can't clash).
     Null or empty texts have no words and come back empty. Texts of fewer than `window` words lose nothing. Rows with
     the same id don't count against each other: equal is not smaller; each comes back. Rows with a null id are
-    neither compared nor changed, only their words are joined. An empty table gives an empty table.
+    neither compared nor changed, only their words are joined. An empty table gives an empty table. A chunk holds its documents whole, so the
+    longest text bounds what a task holds.
     """
-    chunks, buckets = 2 * width(docs.sparkSession), width(docs.sparkSession)
-    knots = R.knots(docs, id_col)
-    marks = _marks(docs, window, chunks, buckets, knots, id_col, text_col)
+    plan = R.layout(docs, id_col, text_col)
+    marks = _marks(docs, window, plan, id_col, text_col)
     release(docs.sparkSession)
-    base = R.chunked(docs, chunks, knots, id_col, text_col, carry=True)
+    base = R.chunked(docs, plan, id_col, text_col, carry=True)
     out = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
@@ -75,7 +75,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, squeeze: bool = True,
             u, where, back = np.unique(h, return_index=True, return_inverse=True)
             doc = np.searchsorted(first, at, side="right") - 1
             own = ids[doc]
-            later = R.flags(u, marks, buckets, "earlier")[back] | (own > own[where][back])
+            later = R.flags(u, marks, plan.buckets, "earlier")[back] | (own > own[where][back])
             step = np.zeros(n + 1, np.int32)
             np.add.at(step, at[later], 1)
             np.add.at(step, at[later] + window, -1)

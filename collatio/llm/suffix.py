@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import _hashing as H
 from . import _repeats as R
-from ._store import cut, release, width
+from ._store import cut, release
 
 LENGTH = 100
 #: A perfect difference set: every difference modulo PERIOD occurs between two of its members.
@@ -316,26 +316,26 @@ class Chunk:
             yield lot, found, copy
 
 
-def _names(docs: DataFrame, length: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
+def _names(docs: DataFrame, length: int, plan: R.Layout, id_col: str, text_col: str) -> DataFrame:
     def emit(t: pa.Table) -> pa.Table:
         c = Chunk(t, length)
-        return R.blocks(c.number, c.names([c.samples(lot) for lot in c.lots])[0] if c.number >= 0 else np.zeros(0, np.uint64), buckets)
+        return R.blocks(c.number, c.names([c.samples(lot) for lot in c.lots])[0] if c.number >= 0 else np.zeros(0, np.uint64), plan.buckets)
 
-    base = R.chunked(docs, chunks, knots, id_col, text_col)
+    base = R.chunked(docs, plan, id_col, text_col)
     return cut(R.answers(base.groupBy("chunk").applyInArrow(emit, R.BLOCK)), "op9-names")
 
 
-def _repeats(docs: DataFrame, names: DataFrame, length: int, chunks: int, buckets: int, knots: list[int], id_col: str, text_col: str) -> DataFrame:
+def _repeats(docs: DataFrame, names: DataFrame, length: int, plan: R.Layout, id_col: str, text_col: str) -> DataFrame:
     def emit(t: pa.Table, marks: pa.Table) -> pa.Table:
-        into, number = Runs(buckets), 0
+        into, number = Runs(plan.buckets), 0
         if t.num_rows:
             c = Chunk(t, length)
             number = c.number
-            for _ in c.runs(marks, buckets, into) if number >= 0 else ():
+            for _ in c.runs(marks, plan.buckets, into) if number >= 0 else ():
                 pass
         return into.table(number)
 
-    base = R.chunked(docs, chunks, knots, id_col, text_col)
+    base = R.chunked(docs, plan, id_col, text_col)
     sent = base.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(emit, RUNS)
     return cut(mark(sent, length), "op9-repeats")
 
@@ -356,14 +356,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length <= PERIOD:
         raise ValueError(f"length must be over {PERIOD}")
     spark = docs.sparkSession
-    chunks, buckets = 2 * width(spark), width(spark)
-    knots = R.knots(docs, id_col)
-    names = _names(docs, length, chunks, buckets, knots, id_col, text_col)
+    plan = R.layout(docs, id_col, text_col)
+    names = _names(docs, length, plan, id_col, text_col)
     release(spark)
-    repeats = _repeats(docs, names, length, chunks, buckets, knots, id_col, text_col)
+    repeats = _repeats(docs, names, length, plan, id_col, text_col)
     release(spark)
     marks = names.unionByName(repeats, allowMissingColumns=True)
-    base = R.chunked(docs, chunks, knots, id_col, text_col, carry=True)
+    base = R.chunked(docs, plan, id_col, text_col, carry=True)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     out = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -377,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         removed, spans, kept = [0] * len(c.texts), [[] for _ in c.texts], list(c.texts)
         again = {b: np.unpackbits(np.frombuffer(x, np.uint8)) for b, x in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True) if x is not None}
         marks = marks.filter(pc.is_valid(marks["other"]))
-        for lot, found, copy in c.runs(marks, buckets, Runs(buckets)) if c.number >= 0 else ():
+        for lot, found, copy in c.runs(marks, plan.buckets, Runs(plan.buckets)) if c.number >= 0 else ():
             _, at = H.join([c.texts[i] for i in lot])
             step = np.zeros(int(at[-1]) + 1, np.int32)
             for place, n, bucket, first, new in found:

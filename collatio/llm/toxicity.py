@@ -109,6 +109,14 @@ def score_texts(texts: list[bytes], model: Model, slots: np.ndarray) -> tuple[np
     return np.clip(p, 0, 1), per
 
 
+def slopes(z: np.ndarray, off: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The derivative of the documents' log loss by each sentence's z; off tells where a document's sentences start, and the end."""
+    score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    logs = np.concatenate([[0], np.cumsum(np.log1p(-np.minimum(score, 1 - 1e-9)))])
+    p = np.clip(-np.expm1(logs[off[1:]] - logs[off[:-1]]), 1e-6, 1)
+    return score * np.repeat(np.where(labels == 1, -(1 - p) / p, 1.0), np.diff(off))
+
+
 def fit(texts: list[bytes], labels: np.ndarray, least: int = 3, epochs: int = 12, batch: int = 128, rate: float = 0.25, decay: float = 1e-5) -> Model:
     """Noisy-or over sentences, by AdaGrad on the documents' log loss.
 
@@ -161,12 +169,7 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 3, epochs: int = 12
             off = np.concatenate([[0], np.cumsum(sizes)])
             s = np.concatenate([index[i][0] + o for i, o in zip(own, off, strict=False)])
             k = np.concatenate([index[i][1] for i in own])
-            z = bias + np.bincount(s, weights=w[k], minlength=off[-1])
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            logs = np.concatenate([[0], np.cumsum(np.log1p(-np.minimum(score, 1 - 1e-9)))])
-            p = np.clip(-np.expm1(logs[off[1:]] - logs[off[:-1]]), 1e-6, 1)
-            push = np.where(labels[own] == 1, -(1 - p) / p, 1.0)
-            d = score * np.repeat(push, sizes)
+            d = slopes(bias + np.bincount(s, weights=w[k], minlength=off[-1]), off, labels[own])
             grad = np.bincount(k, weights=d[s], minlength=len(w)) / len(own)
             hit = np.flatnonzero(grad)
             g2[hit] += grad[hit] ** 2

@@ -200,7 +200,7 @@ def test_an_id_is_one_node(spark, width):
 
 def test_null_ids_spread(spark):
     rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
-    sizes = [r["count"] for r in R.chunked(rows, 8, [0, 1]).groupBy("chunk").count().collect()]
+    sizes = [r["count"] for r in R.chunked(rows, R.Layout([0, 1], 8, 4)).groupBy("chunk").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
 
 
@@ -221,3 +221,17 @@ def test_suffixes_are_in_order(length):
         assert new.tolist() == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
         blocks = list(s.blocks(places, 300))
         assert len(blocks) > 1 and [keys[b[i]] for b in blocks for i in s.ordered(places[b])[0]] == got
+
+
+def test_chunks_are_bounded_by_bytes(spark, monkeypatch):
+    """Results don't depend on how many chunks there are; long texts make more of them."""
+    rows = X.documents(40)
+    docs = X.frame(spark, rows)
+    before = R.layout(docs)
+    want = sorted(map(tuple, substring.remove_repeats(docs).select("doc_id", "n_removed").collect()), key=str)
+    monkeypatch.setattr(R, "CHUNK_BYTES", 1000)
+    plan = R.layout(docs)
+    assert plan.chunks == -(-sum(len((t or "").encode()) for _, t in rows) // 1000) > before.chunks and plan.buckets > before.buckets
+    assert sorted(map(tuple, substring.remove_repeats(docs).select("doc_id", "n_removed").collect()), key=str) == want
+    monkeypatch.setattr(R, "CHUNK_BYTES", 1 << 40)
+    assert R.layout(docs.limit(0)).chunks == before.chunks

@@ -181,6 +181,47 @@ def test_noisy_or():
     assert np.allclose(p, [1 - (1 - one) ** 3, one, one, one])
 
 
+def test_slopes_are_the_loss_differentiated():
+    rng = np.random.default_rng(0)
+    off, labels, z = np.array([0, 1, 4, 9]), np.array([1, 0, 1]), rng.normal(size=9)
+
+    def loss(z):
+        out = 0.0
+        for y, a, b in zip(labels, off, off[1:], strict=False):
+            none = math.prod(1 - 1 / (1 + math.exp(-x)) for x in z[a:b])
+            out -= math.log(1 - none) if y else math.log(none)
+        return out
+
+    got = toxicity.slopes(z, off, labels)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-6
+        assert abs((loss(z + step) - loss(z - step)) / 2e-6 - got[k]) < 1e-6
+
+
+def test_scores_are_sums_over_features():
+    """A model with features against a plain form: each word's hashes by themselves, once a sentence."""
+    rows = labelled(400, 3)
+    m = toxicity.fit([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]))
+    weight = dict(zip(m.keys.tolist(), m.weights.tolist(), strict=True))
+    assert len(weight) > 20
+    texts = [t for _, t, _ in rows[:40]] + ["Zugzug! zugzug zugzug. Ärger\nquaxel? ..", "", "ZUGZUG", "."]
+    for text, p in zip(texts, toxicity.score_texts([t.encode() for t in texts], m, m.slots())[0], strict=True):
+        none, sentences = 1.0, [w for w in ("".join(c if c.isalnum() or ord(c) > 127 else " " for c in x).split() for x in text.replace("\n", ".").replace("!", ".").replace("?", ".").split(".")) if w]
+        for words in sentences or [[]]:
+            features = {h for w in words for _, h in toxicity._features(toxicity.H.join([w.encode()])[0]) for h in h.ravel().tolist()}
+            none *= 1 - 1 / (1 + math.exp(-(m.bias + sum(weight.get(h, 0.0) for h in features))))
+        assert abs(p - (1 - none)) < 1e-9
+
+
+def test_held_out_labels_are_predicted(spark):
+    """The area under the curve on the rows that the model may not learn from."""
+    folder = DATA.replace("0.001", "0.01")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [(r["score"], labels[r["doc_id"]]) for r in toxicity.query(spark, folder).where("held_out").collect() if r["doc_id"] in labels]
+    bad, good = ([s for s, y in got if y == v] for v in (1, 0))
+    assert len(bad) >= 5 and np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.8
+
+
 def test_toxicity_scores_rows(spark):
     rows = labelled(300, 2)
     m = toxicity.fit([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]))
