@@ -43,7 +43,7 @@ SHORT = 512
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
-    """Insertions, deletions and substitutions: Spark's for short pairs, the kernel's for long ones, which alone are sent to it."""
+    """Insertions, deletions and substitutions: Spark's for short pairs, the kernel's for long ones. Short pairs pass the worker too, as nulls."""
     long = F.greatest(F.length(ref), F.length(hyp)) > SHORT
     kernel = F.pandas_udf(_distances, "bigint")(F.when(long, ref), F.when(long, hyp))
     return F.when(long, kernel).otherwise(F.levenshtein(F.when(~long, ref), F.when(~long, hyp)).cast("long"))

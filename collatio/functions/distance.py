@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import tokens
 
-#: Distinct words of a pair stand for code points from here on; below the surrogates there is room for so many.
-FIRST, ROOM = 0x4E00, 0xD800 - 0x4E00
+#: Distinct words of a pair stand for code points from here on: so many below the surrogates, then those of the planes beyond.
+FIRST, LOW, ROOM = 0x4E00, 0xD800 - 0x4E00, 0xD800 - 0x4E00 + 0x100000
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
@@ -17,14 +17,14 @@ def char_edits(ref: Column, hyp: Column) -> Column:
 
 
 def _as_symbols(words: Column, known: Column) -> Column:
-    points = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(FIRST - 1)), 4, "0"))
-    return F.decode(F.unhex(F.array_join(points, "")), "UTF-16BE")
+    point = lambda w: F.array_position(known, w) + F.when(F.array_position(known, w) > LOW, 0x10000 - LOW - 1).otherwise(FIRST - 1)
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(point(w)), 8, "0")), "")), "UTF-32")
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Edits between arrays of words: each distinct word of the pair is given a code point of its own.
 
-    A pair of lines has far fewer than the 35,328 distinct words that fit; more raise an error, not a wrong count.
+    There are over a million of them; a pair with more distinct words raises an error, not a wrong count.
     """
     known = F.array_union(ref, hyp)
     fits = F.size(known) <= ROOM

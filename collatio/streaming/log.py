@@ -21,6 +21,9 @@ def upsert_last_success(stream: DataFrame, state: str, checkpoint: str, keys: li
         if n:
             rows = last_success(rows.unionByName(spark.read.parquet(f"{state}/v{n - 1}")), keys, seq, error)
         rows.write.mode("overwrite").parquet(f"{state}/v{n}")
+        if n > 1:  # the version before the last may be read by a batch that runs again; older ones are done with
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/v{n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
