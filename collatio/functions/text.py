@@ -32,7 +32,7 @@ TAGS = r"</?(u|b|i|em|strong|s|del|sub|sup|br|p|span|div)\s*/?>"
 
 LINE_END = "\r\n?"
 CELL_EDGE = rf"{SPACE}*\|{SPACE}*"
-HYPHENATED = rf"(?<!{SPACE})(?<=[\s\S]){HYPHENS}\n"
+HYPHENATED = rf"{HYPHENS}(?<=[^{SPACE[1:-1]}]{HYPHENS})\n"  # looks back from a hyphen, not from every place
 BRACKETED = rf"\[([^\[\]{SPACE[1:-1]}]+)\]"
 ANGLED = rf"⟨([^⟨⟩{SPACE[1:-1]}]+)⟩"
 LONG_S, SHARP_S, V_AS_U, J_AS_I = ("ſʃ", "ss"), (("ß", "ss"), ("ẞ", "SS")), ("vV", "uU"), ("jJ", "iI")

@@ -146,3 +146,45 @@ def test_partial_ratio():
         a, b = "".join(random.choices("ab", k=3)), "".join(random.choices("abc", k=8))
         score, lo, hi = K.partial_ratio(a, b)
         assert 0 <= score <= 1 and 0 <= lo <= hi <= len(b)
+
+
+READINGS = (str.lower, lambda x: x.replace(".", "").replace(",", ""), lambda x: x.replace("th", "t"))
+
+
+def table_script(a, b):
+    """The script of the whole table: from the end delete, else insert, else step over both; common ends first."""
+    head = next((k for k, (x, y) in enumerate(itertools.zip_longest(a, b)) if x != y), len(a))
+    tail = next((k for k, (x, y) in enumerate(itertools.zip_longest(a[head:][::-1], b[head:][::-1])) if x != y), len(a) - head)
+    i, j, steps = len(a) - tail, len(b) - tail, []
+    d = {(p, q): table_distance(a[head:p], b[head:q]) for p in range(head, i + 1) for q in range(head, j + 1)}
+    while i > head or j > head:
+        if i > head and (j == head or d[i, j] == d[i - 1, j] + 1):
+            i -= 1
+            steps.append(("delete", i, j))
+        elif j > head and (i == head or d[i, j] == d[i, j - 1] + 1):
+            j -= 1
+            steps.append(("insert", i, j))
+        else:
+            i, j = i - 1, j - 1
+            steps.append(("equal" if a[i] == b[j] else "replace", i, j))
+    return K.Script(head, tail, steps[::-1])
+
+
+@given(st.text("abA.", max_size=9), st.text("abA.", max_size=9), st.sampled_from((*READINGS, lambda x: x[::2], lambda x: x.replace("a", "XY"))))
+def test_told_scripts_are_those_of_the_table(a, b, read):
+    for x, y in ((a, b), (a, read(a)), (read(a), a), (a, read(b))):
+        s = table_script(x, y)
+        assert K.script(x, y) in ([s] if x != y else [K.Script(len(x), 0, [])])
+        assert K.edit_counts(x, y) == tuple(map(s.count, ("insert", "delete", "replace")))
+        assert K.distance(list(x), list(y)) == K.distance(x, y) == table_distance(x, y)
+        assert K.distances([x, y, a], b) == [table_distance(z, b) for z in (x, y, a)]
+
+
+def test_edits_of_readings_fill_no_table(monkeypatch):
+    """What is only lost or replaced by strangers is counted in one pass, also by words, however long the line."""
+    line = "The other path, then. " * 2000
+    monkeypatch.setattr(K, "distances", None)
+    monkeypatch.setattr(K, "_Columns", None)
+    assert [K.edit_counts(line, f(line)) for f in READINGS] == [(0, 0, 2000), (0, 4000, 0), (0, 6000, 0)]
+    assert [K.distance(line.split(), f(line).split()) for f in READINGS] == [2000, 4000, 6000]
+    assert K.page_counts(line.strip(), line.strip().lower(), False)["sub"] == 2000
