@@ -18,11 +18,7 @@ def _page(ref: pd.Series, hyp: pd.Series, failed: pd.Series) -> pd.DataFrame:
 
 
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r, h in zip(ref, hyp, strict=True):
-        s = K.script(r or "", h or "")
-        rows.append(tuple(map(s.count, ("insert", "delete", "replace"))))
-    return pd.DataFrame(rows, columns=["ins", "dele", "sub"])
+    return pd.DataFrame([K.edit_counts(r or "", h or "") for r, h in zip(ref, hyp, strict=True)], columns=["ins", "dele", "sub"])
 
 
 def _lines(ref: pd.Series, hyp: pd.Series) -> pd.Series:
@@ -37,16 +33,22 @@ def _distances(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or h is None else K.distance(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="Int64")
 
 
-#: Characters up to which Spark's own distance is taken. It fills a table, so its time is a product of lengths; the kernel works on a
-#: whole row of it at once, in words of a big integer, and wins by far on the few long lines that would hold up a stage.
-SHORT = 512
+def _words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    rows = []
+    for r, h in zip(ref, hyp, strict=True):
+        a = (r or "").split()
+        rows.append((len(a), 0 if r == h else K.distance(a, (h or "").split())))
+    return pd.DataFrame(rows, columns=["n", "edits"])
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
-    """Insertions, deletions and substitutions: Spark's for short pairs, the kernel's for long ones. Short pairs pass the worker too, as nulls."""
-    long = F.greatest(F.length(ref), F.length(hyp)) > SHORT
-    kernel = F.pandas_udf(_distances, "bigint")(F.when(long, ref), F.when(long, hyp))
-    return F.when(long, kernel).otherwise(F.levenshtein(F.when(~long, ref), F.when(~long, hyp)).cast("long"))
+    """Insertions, deletions and substitutions, by the kernel: Spark's own distance fills a table for each pair, whatever they have in common."""
+    return F.pandas_udf(_distances, "bigint")(ref, hyp)
+
+
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """struct(n, edits): the reference's tokens, and the edits between the tokens of both."""
+    return F.pandas_udf(_words, "n bigint, edits bigint")(ref, hyp)
 
 
 def page_counts(ref: Column, hyp: Column, failed: Column) -> Column:
