@@ -133,6 +133,20 @@ def test_draws_some_at_a_time(spark):
     assert np.allclose([got["lo"], got["hi"]], np.percentile(x[idx].sum(1) / y[idx].sum(1), [2.5, 97.5]), atol=1e-12)
 
 
+def test_blocks(spark, monkeypatch):
+    """A group of more than a block's rows is dealt to tasks: all draws are made, and the interval is that of drawing from all rows."""
+    monkeypatch.setattr(bootstrap, "BLOCK", 100)
+    falls = np.array([bootstrap._falls(1030, b, 400, 0, 100) for b in range(11)])
+    assert (falls.sum(0) == 1030).all() and abs(falls[:10].mean() - 100) < 2 and abs(falls[10].mean() - 30) < 2
+    df = spark.range(1030).selectExpr("if(id < 1000, 's', null) as k", "id", "cast(id % 7 as double) as num", "3.0D + id % 4 as den")
+    got = {r["k"]: r for r in bootstrap.interval(df, ["k"], "num", "den", "id").collect()}
+    assert set(got) == {None, "s"}
+    monkeypatch.setattr(bootstrap, "BLOCK", 1 << 19)
+    whole = {r["k"]: r for r in bootstrap.interval(df, ["k"], "num", "den", "id").collect()}
+    for k, r in whole.items():
+        assert abs(got[k]["rate"] - r["rate"]) < 1e-12 and abs(got[k]["lo"] - r["lo"]) < 0.01 and abs(got[k]["hi"] - r["hi"]) < 0.01
+
+
 def test_kappa(spark):
     def k(a, b):
         df = spark.createDataFrame(list(zip(a, b, strict=True)), "a string, b string")
