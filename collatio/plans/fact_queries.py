@@ -306,7 +306,8 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array(*map(F.lit, ("Usable.", "quite Misleading", "needs correction")))
     n = F.col("event_id")
     raw = F.concat(F.lit('{"spans":[{"type":"'), F.element_at(names, (n % 4 + 1).cast("int")), F.lit('","severity":'), (n % 7).cast("string"), F.lit('}],"verdict":"'), F.element_at(labels, (n % 3 + 1).cast("int")), F.lit('","note":"'), F.col("event_type"), F.lit('"}'))
-    return table(spark, sf_dir, "events").select(n, F.col("event_type").alias("system_id"), F.col("user_id").alias("page_id"), raw.alias("raw"))
+    log = facts.spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))  # one small file would be one task's
+    return log.select(n, F.col("event_type").alias("system_id"), F.col("user_id").alias("page_id"), raw.alias("raw"))
 
 
 @query("parse_verdicts", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'number_error' WHEN 1 THEN 'garble' WHEN 2 THEN 'name_error' ELSE 'garble' END AS type, CAST(least(2, event_id % 7) AS INTEGER) AS severity,

@@ -300,3 +300,9 @@ def test_archives(spark, tmp_path):
     records.write_lines(systems, str(tmp_path / "l"))
     records.write_lines(systems, str(tmp_path / "l"), append=True)
     assert spark.read.json(str(tmp_path / "l")).count() == 6
+
+
+def test_replies_are_read_once(spark):
+    """The plan names the JSON once, whatever is taken from it, and a slug is made once, not for each alias."""
+    plan = spark.range(1).select(judging.parse(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("translate(") <= 1
