@@ -188,3 +188,44 @@ def test_edits_of_readings_fill_no_table(monkeypatch):
     assert [K.edit_counts(line, f(line)) for f in READINGS] == [(0, 0, 2000), (0, 4000, 0), (0, 6000, 0)]
     assert [K.distance(line.split(), f(line).split()) for f in READINGS] == [2000, 4000, 6000]
     assert K.page_counts(line.strip(), line.strip().lower(), False)["sub"] == 2000
+
+
+PAGE = ["The other Path, then.", "", "Ten thorns: 7 and 12.", "The other Path, then.", "ſo daſs — Ten", "thin. Thin."]
+
+
+def test_lines_read_in_their_places_fill_no_table(monkeypatch):
+    """Neither a table of all lines against all nor an assignment, and no steps of a line that only loses or replaces."""
+    want = [K.page_counts("\n".join(PAGE * 3), f("\n".join(PAGE * 3)), False) for f in READINGS]
+    for name in ("assign", "distances", "_Columns"):
+        monkeypatch.setattr(K, name, None)
+    monkeypatch.setattr(K, "script", lambda a, b, real=K.script: real(a, b) if isinstance(a, list) else None)
+    assert [K.page_counts("\n".join(PAGE * 3), f("\n".join(PAGE * 3)), False) for f in READINGS] == want
+    assert [(p["n_lines_matched"], p["caps_lowered"], p["n_punct_ref"], p["punct_kept"]) for p in want] == [(15, 21, 27, 27), (15, 0, 27, 6), (15, 0, 27, 27)]
+
+
+def as_steps(ref, hyp):
+    """The counts of a pair by the steps of the whole table."""
+    s = table_script(ref, hyp)
+    steps = [*(("equal", k, k) for k in range(s.head)), *s.steps, *(("equal", len(ref) - s.tail + k, len(hyp) - s.tail + k) for k in range(s.tail))]
+    kept = [(ref[i], hyp[j]) for o, i, j in steps if o in ("equal", "replace")]
+    caps = [(r, h) for r, h in kept if r.isupper() and h in (r, r.lower())]
+    glyphs = sum(o == "equal" and ref[i] == "ſ" for o, i, _ in steps) if "ſ" in hyp else 0
+    return (len(caps), sum(r != h for r, h in caps)), (ref.count("."), ref.count(".") - sum(o in ("replace", "delete") and ref[i] == "." for o, i, _ in steps)), (ref.count("ſ"), glyphs, hyp.count("ſ"))
+
+
+@given(st.text("aABſ.", max_size=9), st.text("aABſ.", max_size=9), st.sampled_from((*READINGS, lambda x: x[::2], lambda x: x.replace("a", "XY"))))
+def test_told_counts_are_those_of_the_steps(a, b, read):
+    for x, y in ((a, b), (a, read(a)), (read(a), a), (a, read(b))):
+        assert (K.case_counts(x, y), K.punct_counts(x, y), K.glyph_counts(x, y)) == as_steps(x, y)
+
+
+@given(st.lists(st.text("abA ", max_size=5), min_size=1, max_size=5), st.data())
+def test_own_places_only_where_they_are_cheapest(refs, data):
+    outs = data.draw(st.lists(st.text("abA ", max_size=5), min_size=len(refs), max_size=len(refs))) if data.draw(st.booleans()) else [r.lower() for r in refs]
+    if not any(refs + outs):
+        return
+    own, n = K._own_places(refs, outs), len(refs)
+    cost = np.array([[1 - K.similarity(a, b) + K.ORDER_WEIGHT * abs(i - j) / n for j, b in enumerate(outs)] for i, a in enumerate(refs)])
+    assert (own is not None) == all(cost[i, j] > cost[i, i] + K.SURE for i in range(n) for j in range(n) if i != j)
+    if own is not None:
+        assert own == [K.similarity(a, b) for a, b in zip(refs, outs)] and K.assign(cost) == [(i, i) for i in range(n)]
