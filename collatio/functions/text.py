@@ -1,4 +1,4 @@
-"""Text normalisation as Column expressions. All but NFC stay inside the JVM.
+"""Text normalisation as Column expressions. All stay inside the JVM.
 
 White space is what Unicode text splitting takes for it, and is named point by point, since regular-expression engines differ.
 """
@@ -9,10 +9,8 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 Step = Callable[[Column], Column]
 
@@ -32,12 +30,14 @@ TAGS = r"</?(u|b|i|em|strong|s|del|sub|sup|br|p|span|div)\s*/?>"
 
 LINE_END = "\r\n?"
 CELL_EDGE = rf"{SPACE}*\|{SPACE}*"
-HYPHENATED = rf"{HYPHENS}(?<=[^{SPACE[1:-1]}]{HYPHENS})\n"  # looks back from a hyphen, not from every place
+HYPHENATED = rf"{HYPHENS}\n(?<=[^{SPACE[1:-1]}]{HYPHENS}\n)"  # looks back from a line end, not from every place
 BRACKETED = rf"\[([^\[\]{SPACE[1:-1]}]+)\]"
 ANGLED = rf"⟨([^⟨⟩{SPACE[1:-1]}]+)⟩"
 LONG_S, SHARP_S, V_AS_U, J_AS_I = ("ſʃ", "ss"), (("ß", "ss"), ("ẞ", "SS")), ("vV", "uU"), ("jJ", "iI")
 SEPARATOR = rf"^{SPACE}*\|?{SPACE}*:?-{{2,}}:?{SPACE}*(\|{SPACE}*:?-{{2,}}:?{SPACE}*)*\|?{SPACE}*$"
 RULE = rf"^{SPACE}*([-*_]{SPACE}*){{3,}}$"
+#: The same white space as characters: the JVM's engine tests a class member by member, at each character of a text.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Letters beyond ASCII whose decomposition holds one of the marks; derived, not listed.
 MARKED = "".join(c for c in map(chr, range(0x80, 0x3000)) if any(m in unicodedata.normalize("NFD", c) for m in PERIOD_MARKS))
 PERIOD_CLASS = f"[{PERIOD_GLYPHS}{PERIOD_MARKS}{MARKED}]"
@@ -48,14 +48,9 @@ def python(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern).replace(r"\z", r"\Z"))
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
-
-
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def each_line(c: Column, f: Step) -> Column:
@@ -63,13 +58,17 @@ def each_line(c: Column, f: Step) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC, the one step Spark has no function for: an Arrow UDF that leaves ASCII alone."""
-    return _nfc(c)
+    """Unicode NFC, by the library that Spark has for its collations, so texts don't leave the JVM; ASCII is left alone.
+
+    Spark can't tell that a call by name always gives the same, and so never makes it again in a copy of the expression.
+    """
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(F.length(c) == F.octet_length(c), c).when(c.isNotNull(), composed)
 
 
 def line_strip(c: Column) -> Column:
     """LF line ends, and no white space around a line."""
-    return each_line(F.regexp_replace(c, LINE_END, "\n"), strip)
+    return each_line(_replace_all(c, (("\r\n", "\n"), ("\r", "\n"))), strip)
 
 
 def markdown(c: Column) -> Column:
@@ -85,12 +84,12 @@ def dehyphenate(c: Column) -> Column:
 
 def uncertainty_marks(c: Column) -> Column:
     """Marks of doubt go; a word in brackets loses them."""
-    c = F.regexp_replace(c, UNCERTAIN, "")
+    c = F.regexp_replace(c, rf"(?=[\[(])(?:{UNCERTAIN})", "")
     return F.regexp_replace(F.regexp_replace(c, BRACKETED, "$1"), ANGLED, "$1")
 
 
 def newline_to_space(c: Column) -> Column:
-    return F.translate(c, "\n", " ")
+    return _replace_all(c, (("\n", " "),))
 
 
 def _replace_all(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -104,7 +103,7 @@ def ligatures(c: Column) -> Column:
 
 
 def long_s(c: Column) -> Column:
-    return F.translate(c, *LONG_S)
+    return _replace_all(c, tuple(zip(*LONG_S, strict=True)))
 
 
 def sharp_s(c: Column) -> Column:
@@ -121,16 +120,16 @@ def lowercase(c: Column) -> Column:
 
 
 def uv(c: Column) -> Column:
-    return F.translate(c, *V_AS_U)
+    return _replace_all(c, tuple(zip(*V_AS_U, strict=True)))
 
 
 def ij(c: Column) -> Column:
-    return F.translate(c, *J_AS_I)
+    return _replace_all(c, tuple(zip(*J_AS_I, strict=True)))
 
 
 def whitespace(c: Column) -> Column:
     """Runs of white space become one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(_replace_all(c, tuple((x, " ") for x in WHITE if x != " ")), "  +", " "))
 
 
 #: In the order they are applied, whatever the tier.
@@ -158,7 +157,7 @@ def split_lines(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space-delimited tokens; none for an empty text."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), f"{SPACE}+", -1), lambda x: x != "")
+    return F.filter(F.split(whitespace(F.coalesce(c, F.lit(""))), " ", -1), lambda x: x != "")
 
 
 def strip_token(c: Column) -> Column:
@@ -173,7 +172,7 @@ def key(c: Column) -> Column:
 
 def numeral_tokens(c: Column) -> Column:
     """Stripped tokens with a decimal digit."""
-    return F.filter(F.transform(tokens(c), strip_token), lambda x: x.rlike(r"\p{Nd}"))
+    return F.transform(F.filter(tokens(c), lambda x: x.rlike(r"\p{Nd}")), strip_token)
 
 
 def punctuation(c: Column) -> Column:

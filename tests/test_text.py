@@ -1,3 +1,6 @@
+import time
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +69,31 @@ def test_block_text_and_unwrap(spark):
     assert one(spark, T.block_text, "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == "a | b |\nc |"
     assert one(spark, T.unwrap, " <output> x\ny </output> ") == "x\ny"
     assert one(spark, lambda c: T.fill("{{a}} {x}", x=c), "v") == "{a} v"
+
+
+def test_texts_stay_in_the_jvm(spark, tmp_path):
+    """No text goes to Python, whose batches grow with the texts, and a tier is made once, however many columns read it."""
+    from collatio.plans import catalog
+
+    spark.createDataFrame([(1, "en", "x7 é")], "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("step_nfc", "norm_l0", "norm_l1", "norm_l2", "numeral_f1"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and plan.count("compose") == 1, (name, plan)
+
+
+def test_nfc(spark):
+    odd = [None, "", "abc", "é", "ọ̈ ᅡ", "각", "Å क़", "\U0001d15e\U0001f600", "uͤ", "a\u0000́"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, s string").select("i", T.nfc(F.col("s")).alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in rows] == [s if s is None else unicodedata.normalize("NFC", s) for s in odd]
+
+
+def test_white_space(spark):
+    """Every kind of it, at ends, between words and alone; a long run costs its length, not its square."""
+    assert set(T.WHITE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+    texts = [f"{a}x{b}{a}y{b}\n{b}" for a in T.WHITE for b in T.WHITE] + [T.WHITE, "​x⁠"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", T.whitespace(F.col("s")).alias("w"), T.strip(F.col("s")).alias("p"), T.tokens(F.col("s")).alias("t"), T.split_lines(F.col("s")).alias("l")).orderBy("i").collect()
+    for s, r in zip(texts, rows, strict=True):
+        assert (r["w"], r["p"], r["t"], r["l"]) == (" ".join(s.split()), s.strip(), s.split(), K.split_lines(s)), s
+    began = time.time()
+    assert one(spark, lambda c: T.normalize(c, "L1"), "a" + " " * 300_000 + "b́  " * 20_000 + "c") == "a" + " b́" * 20_000 + " c"
+    assert time.time() - began < 15
