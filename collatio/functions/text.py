@@ -127,9 +127,14 @@ def ij(c: Column) -> Column:
     return _replace_all(c, tuple(zip(*J_AS_I, strict=True)))
 
 
+def _blank(c: Column) -> Column:
+    """Each white-space character a blank."""
+    return _replace_all(c, tuple((x, " ") for x in WHITE if x != " "))
+
+
 def whitespace(c: Column) -> Column:
     """Runs of white space become one space, none at the ends."""
-    return F.trim(F.regexp_replace(_replace_all(c, tuple((x, " ") for x in WHITE if x != " ")), "  +", " "))
+    return F.trim(F.regexp_replace(_blank(c), "  +", " "))
 
 
 #: In the order they are applied, whatever the tier.
@@ -157,7 +162,7 @@ def split_lines(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space-delimited tokens; none for an empty text."""
-    return F.filter(F.split(whitespace(F.coalesce(c, F.lit(""))), " ", -1), lambda x: x != "")
+    return F.filter(F.split(_blank(F.coalesce(c, F.lit(""))), " ", -1), lambda x: x != "")
 
 
 def strip_token(c: Column) -> Column:
