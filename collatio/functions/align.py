@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ EDITS = "ins bigint, dele bigint, sub bigint"
 LINES = "array<struct<line_idx:int,kind:string,hyp_idx:int,sim:double,ref:string,hyp:string>>"
 
 
-def _page(ref: pd.Series, hyp: pd.Series, failed: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([K.page_counts(r, h, bool(f)) for r, h, f in zip(ref, hyp, failed, strict=True)], columns=[*K.COUNTS, "substituted"])
+def _page(ref: pa.Array, hyp: pa.Array, failed: pa.Array) -> pa.Array:
+    rows = [K.page_counts(r, h, bool(f)) for r, h, f in zip(ref.to_pylist(), hyp.to_pylist(), failed.to_pylist(), strict=True)]
+    counts = np.array([[r[c] for c in K.COUNTS] for r in rows], np.int64).reshape(-1, len(K.COUNTS))
+    words = pa.array([r["substituted"] for r in rows], pa.list_(pa.string()))
+    return pa.StructArray.from_arrays([*map(pa.array, np.ascontiguousarray(counts.T)), words], [*K.COUNTS, "substituted"])
 
 
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
@@ -53,7 +58,7 @@ def word_edits(ref: Column, hyp: Column) -> Column:
 
 def page_counts(ref: Column, hyp: Column, failed: Column) -> Column:
     """struct of all counts of a page and the keys of its substituted words."""
-    return F.pandas_udf(_page, PAGE)(ref, hyp, F.coalesce(failed, F.lit(False)))
+    return F.arrow_udf(_page, PAGE)(ref, hyp, F.coalesce(failed, F.lit(False)))
 
 
 def edit_counts(ref: Column, hyp: Column) -> Column:

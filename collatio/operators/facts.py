@@ -68,8 +68,8 @@ def todo(manifest: DataFrame, log: DataFrame, on: str | list[str], error: Column
 
 
 def failed(text: Column, error: Column) -> Column:
-    """A page that gave an error, or nothing but white space."""
-    return error.isNotNull() | (T.normalize(text, "L0") == "")
+    """A page that gave an error, or nothing but white space, rules and table edges. A text with any other character isn't normalised to tell."""
+    return error.isNotNull() | F.when(text.rlike(rf"[^{T.SPACE[1:-1]}|:*_-]"), False).otherwise(T.normalize(text, "L0") == "")
 
 
 def score(pages: DataFrame, predictions: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:

@@ -229,3 +229,39 @@ def test_own_places_only_where_they_are_cheapest(refs, data):
     assert (own is not None) == all(cost[i, j] > cost[i, i] + K.SURE for i in range(n) for j in range(n) if i != j)
     if own is not None:
         assert own == [K.similarity(a, b) for a, b in zip(refs, outs)] and K.assign(cost) == [(i, i) for i in range(n)]
+
+
+def test_pages_read_in_their_places_are_counted_whole(monkeypatch):
+    """Neither lines are matched nor is each normalised and aligned for each count, where all lines only lost, gained or replaced members."""
+    text = "\n".join(PAGE[:1] + PAGE[2:4] + ["Große  Wäſche, gut.", "thin. Thin."])
+    whole = K._side
+    monkeypatch.setattr(K, "_side", lambda s: None)
+    want = [K.page_counts(text, f(text), False) for f in READINGS]
+    monkeypatch.setattr(K, "_side", whole)
+    for name in ("match_lines", "normalize", "edit_counts", "distance", "case_counts", "punct_counts", "substitutions"):
+        monkeypatch.setattr(K, name, None)
+    assert [K.page_counts(text, f(text), False) for f in READINGS] == want
+
+
+texts = st.lists(st.one_of(st.sampled_from(["The other Path, then. ", "Ein Haus ", "ſo daſs Größe ", "\n", " \n", "12 Ten-", "|", "- - -", "[?]", "aͤ", "İ", "ä", "7 ", "ﬁn Ⓐ "]), st.text("aAbT.,7 ſß\n-", max_size=6)), max_size=12).map("".join)
+
+
+@given(texts, texts, st.sampled_from((*READINGS, str.upper, lambda x: x[::2], lambda x: x.replace(" ", ""), lambda x: x.replace(".", ".!"), lambda x: x.replace("a", "q").replace("e", "z"))))
+def test_counts_of_whole_pages_are_those_of_lines(a, b, read):
+    for x, y in ((a, b), (a, read(a)), (read(a), a)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(K, "_side", lambda s: None)
+            m.setattr(K, "_tame", lambda s, chars: False)
+            K._plain.cache_clear()
+            want = K.page_counts(x, y, False), [K.normalize(x, t) for t in ("L0", "L1", "L2")]
+        K._plain.cache_clear()
+        assert (K.page_counts(x, y, False), [K.normalize(x, t) for t in ("L0", "L1", "L2")]) == want
+        assert list(want[0]) == [*K.COUNTS, "substituted"]
+
+
+@given(st.lists(st.text("abA ", max_size=5), min_size=1, max_size=10), st.data())
+def test_few_lines_are_bounded_as_many_are(refs, data):
+    outs = data.draw(st.permutations(refs)) if data.draw(st.booleans()) else [r.lower() for r in refs]
+    if any(refs):
+        own = [K.similarity(a, b) for a, b in zip(refs, outs)]
+        assert K._few_elsewhere(refs, outs, own) == K._elsewhere(refs, outs, own)

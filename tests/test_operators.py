@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from collatio import schema as C
 from collatio.functions import rates as R
+from collatio.functions import text as T
 from collatio.operators import bootstrap, facts, judging, profile, runners
 from collatio.plans.catalog import QUERIES
 from collatio.sources import archives, bundles, pagexml, records
@@ -306,3 +307,9 @@ def test_replies_are_read_once(spark):
     """The plan names the JSON once, whatever is taken from it, and a slug is made once, not for each alias."""
     plan = spark.range(1).select(judging.parse(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and plan.count("translate(") <= 1
+
+
+def test_failed_pages(spark):
+    texts = ["", " \n\t", "| --- |\n|", "***\n- - -", " ", None, "a", "- - a", "*", "**", ":", "_ \n.", "--", "̈"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", facts.failed(F.col("t"), F.lit(None)).alias("f"), (T.normalize(F.col("t"), "L0") == "").alias("want")).collect()
+    assert [r.f for r in rows] == [r.want for r in rows] == [True] * 6 + [False] * 6 + [True, False]
