@@ -78,16 +78,17 @@ def score(pages: DataFrame, predictions: DataFrame, vocabulary: DataFrame | None
     pages: page_id, corpus, gt_text. predictions: run_id, system_id, page_id, text, error. vocabulary: word, the keys that
     count as real words; without it real_word_sub is null. Predictions of other pages are dropped. The alignment is one Arrow UDF a page,
     after a shuffle by page so that all cores align. It is done once: its counts are written to the shared folder, and the words read for
-    others are looked up from there by a join, so the vocabulary may be of any size.
+    others are looked up from there by a join, so the vocabulary may be of any size. Without one no words are written.
     """
     both = predictions.join(pages.select("page_id", "corpus", "gt_text"), "page_id").withColumn("failed", failed(F.col("text"), F.col("error")))
     rows = spread(both, "run_id", "page_id").select("run_id", "system_id", "page_id", "corpus", F.col("failed").alias("error"), align.page_counts(F.col("gt_text"), F.col("text"), F.col("failed")).alias("c"))
-    rows = cut(rows.select("run_id", "system_id", "page_id", "corpus", "error", "c.*", F.size("c.substituted").cast("long").alias("n_sub_words")), "scores")
+    rows = rows.select("run_id", "system_id", "page_id", "corpus", "error", "c.*", F.size("c.substituted").cast("long").alias("n_sub_words"))
     if vocabulary is None:
-        return rows.drop("substituted").withColumn("real_word_sub", F.lit(None).cast("long"))
-    read = rows.select("run_id", "page_id", F.explode("substituted").alias("word")).groupBy("run_id", "page_id", "word").agg(F.count("*").alias("n"))
+        return cut(rows.drop("substituted"), "scores").withColumn("real_word_sub", F.lit(None).cast("long"))
+    rows = cut(rows, "scores")
+    read = rows.select("run_id", "page_id", F.explode("substituted").alias("word"))
     listed = read.join(vocabulary.select("word", F.lit(True).alias("listed")).distinct(), "word", "left")
-    real = listed.where(is_word(F.col("word"), F.coalesce("listed", F.lit(False)))).groupBy("run_id", "page_id").agg(F.sum("n").alias("real"))
+    real = listed.where(is_word(F.col("word"), F.coalesce("listed", F.lit(False)))).groupBy("run_id", "page_id").agg(F.count("*").alias("real"))
     return rows.drop("substituted").join(real, ["run_id", "page_id"], "left").withColumn("real_word_sub", F.coalesce("real", F.lit(0))).drop("real")
 
 

@@ -265,3 +265,11 @@ def test_few_lines_are_bounded_as_many_are(refs, data):
     if any(refs):
         own = [K.similarity(a, b) for a, b in zip(refs, outs)]
         assert K._few_elsewhere(refs, outs, own) == K._elsewhere(refs, outs, own)
+
+
+def test_marks_stay_marks_in_lower_case():
+    """What counting them without lowering a page rests on."""
+    import unicodedata
+
+    assert not [c for c in map(chr, range(0x110000)) if c not in K._STEPPED and (len(c.lower()) != 1 or K._is_punctuation.__wrapped__(c) != K._is_punctuation.__wrapped__(c.lower()))]
+    assert all(unicodedata.category(c)[0] == "L" for pair in (*K.T.V_AS_U, *K.T.J_AS_I) for c in pair)

@@ -313,3 +313,16 @@ def test_failed_pages(spark):
     texts = ["", " \n\t", "| --- |\n|", "***\n- - -", " ", None, "a", "- - a", "*", "**", ":", "_ \n.", "--", "̈"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", facts.failed(F.col("t"), F.lit(None)).alias("f"), (T.normalize(F.col("t"), "L0") == "").alias("want")).collect()
     assert [r.f for r in rows] == [r.want for r in rows] == [True] * 6 + [False] * 6 + [True, False]
+
+
+def test_words_read_for_others_are_not_grouped_before_they_are_looked_up(spark, monkeypatch):
+    """A repeated word counts each time, and the words of all pages aren't shuffled by page and word to be told so."""
+    pages = spark.createDataFrame([("p", "c", "ein Hans und ein Hans am Herz"), ("q", "c", "gut")], "page_id string, corpus string, gt_text string")
+    said = spark.createDataFrame([("r", "s", "p", "ein haus und ein haus am xx", None), ("r", "s", "q", "gut", None)], "run_id string, system_id string, page_id string, text string, error string")
+    out = facts.score(pages, said, spark.createDataFrame([("haus",), ("gut",)], "word string"))
+    assert {r.page_id: (r.n_sub_words, r.real_word_sub) for r in out.collect()} == {"p": (3, 2), "q": (0, 0)}
+    groups = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line]
+    assert groups and not [g for g in groups if "page_id" in g.split("]")[0] and "word" in g.split("]")[0]]
+    kept = []
+    monkeypatch.setattr(facts, "cut", lambda df, name, real=facts.cut: kept.append(df.columns) or real(df, name))
+    assert {r.real_word_sub for r in facts.score(pages, said).collect()} == {None} and "substituted" not in kept[0]
