@@ -1,4 +1,4 @@
-"""The alignment kernels as Arrow-batched Column functions, one call a page or line."""
+"""The alignment kernels as Arrow-batched Column functions, one call a line or a batch of pages."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import pages
 
 PAGE = ", ".join(f"{c} bigint" for c in K.COUNTS) + ", substituted array<string>"
 EDITS = "ins bigint, dele bigint, sub bigint"
@@ -16,10 +17,8 @@ LINES = "array<struct<line_idx:int,kind:string,hyp_idx:int,sim:double,ref:string
 
 
 def _page(ref: pa.Array, hyp: pa.Array, failed: pa.Array) -> pa.Array:
-    rows = [K.page_counts(r, h, bool(f)) for r, h, f in zip(ref.to_pylist(), hyp.to_pylist(), failed.to_pylist(), strict=True)]
-    counts = np.array([[r[c] for c in K.COUNTS] for r in rows], np.int64).reshape(-1, len(K.COUNTS))
-    words = pa.array([r["substituted"] for r in rows], pa.list_(pa.string()))
-    return pa.StructArray.from_arrays([*map(pa.array, np.ascontiguousarray(counts.T)), words], [*K.COUNTS, "substituted"])
+    counts, words = pages.page_counts(ref.to_pylist(), hyp.to_pylist(), failed.to_pylist())
+    return pa.StructArray.from_arrays([*map(pa.array, np.ascontiguousarray(counts.T)), pa.array(words, pa.list_(pa.string()))], [*K.COUNTS, "substituted"])
 
 
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:

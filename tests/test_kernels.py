@@ -2,10 +2,12 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from collatio.functions import align, pages
 from collatio.functions import kernels as K
 
 
@@ -273,3 +275,39 @@ def test_marks_stay_marks_in_lower_case():
 
     assert not [c for c in map(chr, range(0x110000)) if c not in K._STEPPED and (len(c.lower()) != 1 or K._is_punctuation.__wrapped__(c) != K._is_punctuation.__wrapped__(c.lower()))]
     assert all(unicodedata.category(c)[0] == "L" for pair in (*K.T.V_AS_U, *K.T.J_AS_I) for c in pair)
+
+
+EDITED = (*READINGS, str.upper, lambda x: x[::2], lambda x: x.replace(" ", ""), lambda x: x.replace("a", "q").replace("e", "z"), lambda x: x.replace("aa", "a").replace("bb", "b"), lambda x: x.replace("T", "t").replace("h", "T"))
+
+
+@given(st.lists(st.tuples(st.one_of(texts, st.text("abT \n", max_size=24)), st.sampled_from(EDITED), st.booleans(), st.sampled_from((False,) * 9 + (True,))), max_size=9), st.sampled_from((1, 99, 1 << 17)), st.sampled_from((1, 1 << 22)))
+def test_counts_of_many_pages_are_those_of_each(rows, block, table):
+    """However they are dealt to blocks."""
+    refs = [f(x) if back else x for x, f, back, _ in rows]
+    hyps = [x if back else f(x) for x, f, back, _ in rows]
+    failed = [f for *_, f in rows]
+    want = [K.page_counts(*page) for page in zip(refs, hyps, failed, strict=True)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pages, "BLOCK", block)
+        m.setattr(pages, "TABLE", table)
+        counts, words = pages.page_counts(refs, hyps, failed)
+    assert [dict(zip(K.COUNTS, c)) | {"substituted": w} for c, w in zip(counts.tolist(), words, strict=True)] == want
+
+
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), min_size=1, max_size=9), st.data())
+def test_words_in_turn_are_those_of_the_table(x, data):
+    y = [data.draw(st.sampled_from([w, w, "c", "f"])) for w in x]
+    r, h = zip(*[(p, q) for p, q in zip(x, y) if p != q]) if x != y else ((), ())
+    edits, read = pages._words_in_turn(" ".join(x) + "\n", " ".join(y) + "\n", list(r), list(h), list(h), [0] * len(r))
+    assert edits == table_distance(x, y) and read == [y[j] for op, _, j in table_script(x, y).steps if op == "replace"]
+
+
+def test_a_batch_of_pages_is_counted_side_by_side(monkeypatch):
+    """Pages read in their places aren't counted one by one, failed ones and those with other lines are."""
+    text = "\n".join(PAGE[:1] + PAGE[2:4] + ["Große  Wäſche, gut.", "thin. Thin."])
+    rows = [(text + f"\nthe {i}th", f(text + f"\nthe {i}th"), False) for i in range(40) for f in READINGS] + [(text, text, True), (text, "thin", False)]
+    want = [K.page_counts(*r) for r in rows]
+    alone = []
+    monkeypatch.setattr(K, "page_counts", lambda *page, real=K.page_counts: alone.append(page) or real(*page))
+    out = align._page(*(pa.array(c) for c in zip(*rows)))
+    assert out.to_pylist() == want and alone == rows[-2:]
